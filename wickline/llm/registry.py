@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_id_binary": token_files.op3_token_id_binary,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
