@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash, token_counts, token_files
+from . import decontaminate, mixing, simhash, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing_sources": mixing.op1_mixing_sources,
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_token_id_binary": token_files.op3_token_id_binary,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
