@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, token_counts, token_files
+from . import decontaminate, mixing, quality, simhash, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_token_id_binary": token_files.op3_token_id_binary,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality_rules": quality.op6_quality_rules,
         "op10_token_counts": token_counts.op10_token_counts,
     }
