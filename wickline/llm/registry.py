@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, token_counts, token_files, toxicity
+from . import chat, decontaminate, mixing, quality, simhash, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op8_chat_quotation_linking": chat.op8_chat_quotation_linking,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
@@ -24,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op8_chat_quotation_linking": chat.ORACLE_SQL,
     }
