@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, simhash, token_counts, token_files, toxicity
+from . import chat, decontaminate, mixing, phrases, quality, simhash, suffixes, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
         "op8_chat_quotation_linking": chat.op8_chat_quotation_linking,
+        "op9_substring_dedup": phrases.op9_substring_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op8_chat_quotation_linking": chat.ORACLE_SQL,
+        "op9_substring_dedup": phrases.ORACLE_SQL,
     }
