@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 #: ``bytes.split()`` splits UTF-8 at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Arrow bytes that a Python worker turns into objects at once.
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` bytes, so that a worker holds few Python objects at once."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def with_columns(
     df: DataFrame,
     inputs: list[str],
@@ -81,7 +91,7 @@ def with_columns(
 
         target = to_arrow_schema(schema)
         make = factory()
-        for batch in batches:
+        for batch in slices(batches):
             made = make(*[batch.column(c) for c in inputs])
             columns = [batch.column(c) for c in kept]
             for field, values in zip(list(target)[len(kept) :], made):

@@ -39,6 +39,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text for a shard; its file is smaller.
 SHARD_BYTES = 16 << 20
+MEMO_PIECES = 500_000
 
 _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -72,18 +73,16 @@ def unframe(data, at: int, verify: bool = True) -> tuple[int | None, np.ndarray,
     return None if flags & 1 else doc_id, ids, end + 5
 
 
-def _memo(path: str) -> tuple[tokens.Memo, bool]:
+def _memo(path: str) -> tuple[tokens.IdMemo, bool]:
     def make():
         tokenizer = tokens.load(path)
         wide = tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        kind = np.dtype("<u4" if wide else "<u2")
-        text_of = lambda p: p[1:] if p[:1] == "\0" else " " + p
-        return tokens.Memo(tokenizer, lambda e: np.array(e.ids, kind).tobytes(), text_of), wide
+        return tokens.IdMemo(tokenizer, np.dtype("<u4" if wide else "<u2"), MEMO_PIECES), wide
 
     return tokens.per_worker(("ids", path), make)
 
 
-def encode(texts: list[str], memo: tokens.Memo) -> list[bytes]:
+def encode(texts: list[str], memo: tokens.IdMemo) -> list[bytes]:
     """The ids of each text, as little-endian bytes."""
     # A text that itself starts a piece with the mark is encoded whole.
     lists = [tokens.space_led_pieces(t) if "\0" not in t else ["\0" + t] for t in texts]
@@ -93,7 +92,9 @@ def encode(texts: list[str], memo: tokens.Memo) -> list[bytes]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's estimate from file sizes; 0 where it has none, as for rows that come from no file."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 55 else 0
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -105,7 +106,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Parquet holds text at about a third to a half of its size.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(estimated_bytes(rows), 1 << 60) * 2 // SHARD_BYTES)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(rows) * 2 // SHARD_BYTES)
     ordered = rows.repartitionByRange(min(n, 100_000), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def factory():

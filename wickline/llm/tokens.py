@@ -12,9 +12,11 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 MEMO_PIECES = 1_000_000
 #: Characters of text handled at once, so that the pieces fit in memory.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 
 #: GPT-2 style pre-tokenizers: a space before a non-space starts a new piece.
 _BEFORE_SPACE = re.compile(r" (?=\S)")
@@ -68,8 +70,8 @@ def blank_free_pieces(text: str) -> list[str]:
 class Memo:
     """piece -> value, for values made by the library in batches."""
 
-    def __init__(self, tokenizer, value, text_of=lambda piece: piece, limit: int = MEMO_PIECES):
-        self.tokenizer, self.value, self.text_of, self.limit = tokenizer, value, text_of, limit
+    def __init__(self, tokenizer, value, limit: int = MEMO_PIECES):
+        self.tokenizer, self.value, self.limit = tokenizer, value, limit
         self.known: dict[str, object] = {}
 
     def learn(self, piece_lists: list[list[str]]) -> None:
@@ -78,13 +80,64 @@ class Memo:
         if len(self.known) + len(fresh) > self.limit:
             self.known.clear()
             fresh = set().union(*piece_lists)
-        todo, known, value = list(fresh), self.known, self.value
+        self._encode(list(fresh))
+
+    def _encode(self, todo: list[str]) -> None:
+        known, value = self.known, self.value
         for k in range(0, len(todo), 20_000):
             part = todo[k : k + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch([self.text_of(p) for p in part], add_special_tokens=False)):
+            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 known[piece] = value(found)
 
 
+class IdMemo(Memo):
+    """piece -> ids as little-endian bytes, for pieces of ``space_led_pieces`` and byte-level tokenizers.
+
+    Pieces led by a space are encoded many in one text, where the library cuts
+    between them as in any text, and told apart by the bytes of their tokens.
+    """
+
+    JOINED = 50
+
+    def __init__(self, tokenizer, kind: np.dtype, limit: int = MEMO_PIECES):
+        super().__init__(tokenizer, None, limit)
+        self.kind = kind
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        for token, number in vocabulary.items():
+            self.width[number] = len(token.encode()) if token in added else len(token)
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _alone(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
+            texts = [p[1:] if p[:1] == "\0" else " " + p for p in part]
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                self.known[piece] = self._bytes(found.ids)
+
+    def _encode(self, todo: list[str]) -> None:
+        self._alone([p for p in todo if p[:1] == "\0"])
+        led = [p for p in todo if p[:1] != "\0"]
+        for k in range(0, len(led), 200 * self.JOINED):
+            groups = [led[i : i + self.JOINED] for i in range(k, min(k + 200 * self.JOINED, len(led)), self.JOINED)]
+            texts = [" " + " ".join(g) for g in groups]
+            for group, text, found in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(found.ids, self.kind)
+                reached = np.cumsum(self.width[ids])
+                ends = np.cumsum([len(p.encode()) + 1 for p in group])
+                cuts = np.searchsorted(reached, ends)
+                if cuts[-1] >= len(ids) or (reached[cuts] != ends).any():
+                    self._alone(group)  # a token that isn't its bytes
+                    continue
+                data, size, at = ids.tobytes(), self.kind.itemsize, 0
+                for piece, cut in zip(group, ((cuts + 1) * size).tolist()):
+                    self.known[piece] = data[at:cut]
+                    at = cut
+
+
 _WORKER: dict = {}
 
 
