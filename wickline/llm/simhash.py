@@ -141,7 +141,8 @@ def forest(fps: np.ndarray, tau: int = TAU, block: int = 1024) -> list[tuple[int
         left, out = np.ones(n, bool), []
         for i in range(n):
             if left[i]:
-                left[i], frontier = False, near[i] & left
+                left[i] = False
+                frontier = near[i] & left
                 while frontier.any():
                     found = np.flatnonzero(frontier)
                     out += [(int(fps[i]), int(fps[j])) for j in found]
