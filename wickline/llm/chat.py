@@ -131,19 +131,16 @@ def turn_before(keys: DataFrame) -> DataFrame:
 
 def threads(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, thread_turn, reply_depth) by pointer doubling over (conv_id, turn, parent_turn)."""
+    root = F.col("parent_turn").isNull()
     state = materialize(
-        parents.select(
-            "conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.col("parent_turn").isNotNull().cast("long").alias("steps")
-        ),
-        "threads",
+        parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), (~root).cast("long").alias("steps"), root.alias("done")), "threads"
     )
-    while state.where("steps > 0").limit(1).count():
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        both = state.join(above, ["conv_id", "up"])
-        after = materialize(both.select("conv_id", "turn", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("steps2") > 0).alias("moved")), "threads")
-        state = after.drop("moved")
-        if not after.where("moved").limit(1).count():
-            break
+    # Only pointers that have not reached a first turn are followed on.
+    while state.where("NOT done").limit(1).count():
+        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"))
+        moved = state.where("NOT done").join(above, ["conv_id", "up"])
+        moved = moved.select("conv_id", "turn", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("done2").alias("done"))
+        state = materialize(state.where("done").unionByName(moved), "threads")
     return state.select("conv_id", "turn", F.col("up").alias("thread_turn"), F.col("steps").alias("reply_depth"))
 
 
