@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,20 +19,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset and the master is local, a temporary folder is made and
-    set; on a cluster a missing setting is an error.
+    Where it is unset and the master is local, a temporary folder is made once
+    for the application; on a cluster a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="wickline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _MADE:
+        _MADE[application] = "file://" + tempfile.mkdtemp(prefix="wickline-")
+    return _MADE[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -60,6 +65,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would hold the largest task's until it ends."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``size`` bytes, so that a worker holds few Python objects at once."""
     for batch in batches:
@@ -97,6 +113,8 @@ def with_columns(
             for field, values in zip(list(target)[len(kept) :], made):
                 columns.append(values.cast(field.type) if isinstance(values, pa.Array) else pa.array(values, field.type))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(target, columns)]))
+        del make
+        give_back()
 
     return df.select(*[df[f"`{c}`"] for c in carried]).mapInArrow(run, schema)
 
