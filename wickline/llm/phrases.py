@@ -84,7 +84,7 @@ DIGEST = "n_words long, n_removed long, kept_sha256 string"
 def repeated_phrases(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id with counts, and if asked spans (flat starts and ends, in words) and kept, the words left."""
     schema, finish = (f"{DIGEST}, spans array<int>, kept string", _spans) if texts else (DIGEST, _digest)
-    return repeats.find(docs, repeats.Words(WINDOW, ANCHOR), identify, True, schema, finish)
+    return repeats.find(docs, repeats.Words(WINDOW, ANCHOR), identify, True, True, schema, finish)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,6 @@ fits in a task's memory; no stage collects a whole group of copies.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, slices
 from .token_files import estimated_bytes
 
-#: Units handled at once, Parquet bytes a bucket stands for, and the fewest buckets a partition.
+#: Units hashed at once, Arrow bytes of documents that settle anchors together, Parquet bytes a bucket stands for,
+#: and the fewest buckets a partition.
 CHUNK_UNITS = 1 << 20
+BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 2
 NULL_ID = -(1 << 63)
 
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -69,6 +71,9 @@ class Bytes:
     def part(self, units, start: int, end: int) -> bytes:
         return units[start:end]
 
+    def anchor_of(self, context: bytes, back: int) -> bytes:
+        return context[back : back + self.q]
+
     def codes(self, docs: list) -> np.ndarray:
         return np.frombuffer(b"".join(docs) + bytes(8), np.uint8)
 
@@ -86,7 +91,7 @@ class Bytes:
 class Words:
     """Words between ASCII white space as units."""
 
-    MEMO = 1_000_000
+    MEMO = 500_000
 
     def __init__(self, window: int, q: int):
         self.window, self.q, self.known = window, q, {}
@@ -103,6 +108,9 @@ class Words:
     def part(self, units, start: int, end: int) -> bytes:
         return b" ".join(units[start:end])
 
+    def anchor_of(self, context: bytes, back: int) -> bytes:
+        return b" ".join(context.split(b" ")[back : back + self.q])
+
     def codes(self, docs: list) -> np.ndarray:
         import xxhash
 
@@ -160,26 +168,54 @@ def anchors(units, docs: list) -> Anchors:
     place, first = place[new], at[new]
     n = np.diff(np.append(new, len(at)))
     doc = np.searchsorted(ends, first, side="right")
-    return Anchors(doc, h[place], first - starts[doc], place - first, n)
+    return Anchors(doc, h[place] & np.uint64((1 << 8 * KEY_BYTES) - 1), first - starts[doc], place - first, n)
+
+
+#: Columns of an occurrence: anchor key, document, first window, the anchor's place after it, windows.
+OCC = np.dtype([("key", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("back", "u1"), ("n", "u1")])
+#: Of a context and a removed range; ``nth`` numbers the different texts that rows with one doc_id have.
+CTX = np.dtype([("doc", "<i8"), ("nth", "<u2"), ("first", "<i4"), ("back", "u1"), ("n", "u1")])
+RANGE = np.dtype([("doc", "<i8"), ("nth", "<u2"), ("start", "<i4"), ("end", "<i4")])
+
+
+#: Bytes of a key that are kept.  Keys only choose what is compared, so a chance collision costs a comparison.
+KEY_BYTES = 6
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
 
 
-#: Columns of an occurrence: anchor key, document, its text's checksum, first window, the anchor's place, windows.
-OCC = np.dtype([("key", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("first", "<i4"), ("back", "u1"), ("n", "u1")])
-RANGE = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("start", "<i4"), ("end", "<i4")])
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
 def pack(rows: np.ndarray) -> bytes:
-    """Column after column, which compresses better."""
-    return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
+    """Column after column, documents as differences, compressed: rows come in document order."""
+    parts = []
+    for c in rows.dtype.names:
+        values = np.ascontiguousarray(rows[c])
+        if c == "doc":
+            values = np.diff(values, prepend=np.int64(0))
+        parts.append(values.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() if c == "key" else values.tobytes())
+    return squeezed(b"".join(parts))
 
 
 def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
-    n, at = len(blob) // dtype.itemsize, 0
+    data = unsqueezed(blob)
+    size = dtype.itemsize - (8 - KEY_BYTES) * ("key" in dtype.names)
+    n, at = len(data) // size, 0
     out = np.empty(n, dtype)
     for c in dtype.names:
-        kind = dtype[c]
-        out[c] = np.frombuffer(blob, kind, n, at)
-        at += n * kind.itemsize
+        if c == "key":
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :KEY_BYTES] = np.frombuffer(data, np.uint8, n * KEY_BYTES, at).reshape(n, KEY_BYTES)
+            out[c], at = wide.view("<u8").ravel(), at + n * KEY_BYTES
+        else:
+            out[c] = np.frombuffer(data, dtype[c], n, at)
+            at += n * dtype[c].itemsize
+    if "doc" in dtype.names:
+        out["doc"] = np.cumsum(out["doc"])
     return out
 
 
@@ -210,21 +246,22 @@ def runs_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1]) if len(sorted_keys) else np.empty(0, np.int64)
 
 
-def settled_here(rows: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(shared, order, ...): which of ``rows``, in the order of their keys, share their key here.
+def shared_here(rows: np.ndarray, across: bool, stands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows share their key with another here, and one row of each such key).
 
-    ``across``: only keys of two documents count as shared.
+    ``across``: only keys of two documents count as shared.  A row that
+    ``stands`` for a key makes it shared by itself.
     """
-    order = np.lexsort((rows["first"], rows["doc"], rows["key"]))
-    ordered = rows[order]
-    starts = runs_of(ordered["key"])
-    sizes = np.diff(np.append(starts, len(ordered)))
-    if across and len(starts):
-        last = starts + sizes - 1
-        many = ordered["doc"][starts] != ordered["doc"][last]
-    else:
-        many = sizes > 1
-    return ordered, np.repeat(many, sizes)
+    order = np.lexsort((rows["doc"], rows["key"]))
+    keys, docs = rows["key"][order], rows["doc"][order]
+    starts = runs_of(keys)
+    sizes = np.diff(np.append(starts, len(order)))
+    many = docs[starts] != docs[starts + sizes - 1] if across and len(starts) else sizes > 1
+    if stands is not None and len(starts):
+        many = many | np.logical_or.reduceat(stands[order], starts)
+    out = np.empty(len(rows), bool)
+    out[order] = np.repeat(many, sizes)
+    return out, order[starts[many]]
 
 
 SCHEMA = "bucket int, kind int, blob binary"
@@ -241,35 +278,34 @@ ALONE, STANDS, SETTLED = 0, 1, 2
 
 def _anchors(docs: DataFrame, units, n_buckets: int, across: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_BYTES):
             found, held, size = [], [], 0
 
             def flush(held):
-                a = anchors(units, [h[2] for h in held])
+                a = anchors(units, [h[1] for h in held])
                 rows = np.empty(len(a.key), OCC)
-                ids, crcs = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.uint32)
-                for c, v in zip(OCC.names, (a.key, ids[a.doc], crcs[a.doc], a.first, a.back, a.n)):
+                ids = np.array([h[0] for h in held], np.int64)
+                for c, v in zip(OCC.names, (a.key, ids[a.doc], a.first, a.back, a.n)):
                     rows[c] = v
                 found.append(rows)
 
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                raw = raw or b""
-                held.append((NULL_ID if doc is None else doc, zlib.crc32(raw), units.split(raw)))
-                size += len(held[-1][2])
+                held.append((NULL_ID if doc is None else doc, units.split(raw or b"")))
+                size += len(held[-1][1])
                 if size >= CHUNK_UNITS:
                     flush(held)
                     held, size = [], 0
             if held:
                 flush(held)
             rows = np.concatenate(found) if found else np.empty(0, OCC)
-            ordered, shared = settled_here(rows, across)
-            out = [(b, ALONE, pack(p)) for b, p in split_by(ordered[~shared], (ordered["key"][~shared] % np.uint64(n_buckets)).astype(np.int64))]
-            settled = ordered[shared]
-            firsts = settled[runs_of(settled["key"])]
+            shared, heads = shared_here(rows, across)
+            out = [(b, ALONE, pack(p)) for b, p in split_by(rows[~shared], (rows["key"][~shared] % np.uint64(n_buckets)).astype(np.int64))]
+            settled, firsts = rows[shared], rows[np.sort(heads)]
             out += [(b, STANDS, pack(p)) for b, p in split_by(firsts, (firsts["key"] % np.uint64(n_buckets)).astype(np.int64))]
             # Settled rows need no bucket in particular; they are dealt by document.
             out += [(b, SETTLED, pack(p)) for b, p in split_by(settled, doc_bucket(settled["doc"], n_buckets))]
             yield from _batch(out).to_batches()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -280,29 +316,40 @@ def _shared(packed: DataFrame, n_docs: int, across: bool) -> DataFrame:
         parts = [unpack_all((b for b, k in zip(blobs, kinds) if k == kind), OCC) for kind in (ALONE, STANDS, SETTLED)]
         rows = np.concatenate(parts[:2])
         stands = np.repeat([False, True], [len(parts[0]), len(parts[1])])
-        ordered, shared = settled_here(rows, across)
-        order = np.lexsort((rows["first"], rows["doc"], rows["key"]))
-        stands = stands[order]
-        if stands.any():
-            starts = runs_of(ordered["key"])
-            sizes = np.diff(np.append(starts, len(ordered)))
-            shared |= np.repeat(np.logical_or.reduceat(stands, starts), sizes)
+        shared, _ = shared_here(rows, across, stands)
         # Those that stand for a settled key are among the settled rows themselves.
-        kept = np.concatenate([ordered[shared & ~stands], parts[2]])
+        kept = np.concatenate([rows[shared & ~stands], parts[2]])
+        kept = kept[np.lexsort((kept["first"], kept["doc"]))]
         return _batch([(b, 0, pack(p)) for b, p in split_by(kept, doc_bucket(kept["doc"], n_docs))])
 
     return packed.groupBy("bucket").applyInArrow(run, SCHEMA)
 
 
-def _docs_of(group: pa.Table, units) -> dict:
-    out = {}
+def _docs_of(group: pa.Table) -> dict[int, list[bytes]]:
+    """The different texts of each doc_id, in order; both visits of a bucket number them alike."""
+    out: dict[int, list[bytes]] = {}
     for doc, raw in zip(group.column("doc_id").to_pylist(), group.column("text").cast(pa.binary()).to_pylist()):
-        raw = raw or b""
-        out[(NULL_ID if doc is None else doc, zlib.crc32(raw))] = raw
+        held, raw = out.setdefault(NULL_ID if doc is None else doc, []), raw or b""
+        if raw not in held:
+            held.append(raw)
+            held.sort()
     return out
 
 
-CONTEXTS = "bucket int, kind int, blob binary, texts array<binary>"
+CONTEXTS = "bucket int, kind int, blob binary, texts binary"
+
+
+def pack_texts(texts: list[bytes]) -> bytes:
+    lengths = np.array([len(t) for t in texts], "<i4").tobytes()
+    return squeezed(len(texts).to_bytes(8, "little") + lengths + b"".join(texts))
+
+
+def unpack_texts(blob: bytes) -> list[bytes]:
+    data = unsqueezed(blob)
+    n = int.from_bytes(data[:8], "little")
+    at = 8 + 4 * n
+    ends = (np.cumsum(np.frombuffer(data, "<i4", n, 8)) + at).tolist()
+    return [data[a:b] for a, b in zip([at, *ends], ends)]
 
 
 def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, by_place: bool) -> DataFrame:
@@ -310,44 +357,52 @@ def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, by_plac
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = unpack_all(right.column("blob").to_pylist(), OCC)
-        rows = rows[np.lexsort((rows["first"], rows["crc"], rows["doc"]))]
-        texts = _docs_of(left, units) if len(rows) else {}
-        # The earliest holder of each context goes on; the order of the rows is that of earliness.
-        seen: dict[tuple[int, bytes], int] = {}
-        sent, contexts, settled = [], [], []
-        here, parts = None, None
-        for i, (key, doc, crc, first, back, n) in enumerate(rows.tolist()):
-            if here != (doc, crc):
-                here = (doc, crc)
-                parts = units.split(texts[here])
-            context = units.part(parts, first, first + n + tail)
-            holder = seen.setdefault((key, context), i)
-            if holder == i:
-                sent.append(i)
-                contexts.append(context)
-            elif by_place or rows["doc"][holder] < doc:
-                settled.append((doc, crc, first, first + n + tail))
-            else:  # the same document again: as late as its first holder
-                sent.append(i)
-                contexts.append(context)
+        # By earliness; a place that repeated rows of a document give twice counts once.
+        rows = rows[np.lexsort((rows["key"], rows["first"], rows["doc"]))]
+        same = np.ones(max(len(rows) - 1, 0), bool)
+        for c in OCC.names:
+            same &= rows[c][1:] == rows[c][:-1]
+        rows = rows[np.concatenate([[True], ~same])] if len(rows) else rows
+        texts = _docs_of(left) if len(rows) else {}
+        # The earliest holder of each context goes on and settles those after it.
+        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+        sent, groups, contexts, settled = [], [], [], []
+        here, parts = None, []
+        for key, doc, first, back, n in rows.tolist():
+            if here != doc:
+                here, parts = doc, [units.split(t) for t in texts[doc]]
+            for nth, part in enumerate(parts):
+                # Of several texts with one doc_id an anchor is one's; the others' contexts there do no harm.
+                end = first + n + tail
+                if end > len(part):
+                    continue
+                context = units.part(part, first, end)
+                holder = seen.setdefault((key, context), (doc, first))
+                if holder[0] < doc or by_place and holder[1] < first:
+                    settled.append((doc, nth, first, end))
+                else:  # the first, or as early as the first
+                    sent.append((doc, nth, first, back, n))
+                    groups.append(key % n_buckets)
+                    contexts.append(context)
         out = []
         if sent:
-            chosen = rows[sent]
-            group = (chosen["key"] % np.uint64(n_buckets)).astype(np.int64)
+            chosen, group = np.array(sent, CTX), np.array(groups)
             order = np.argsort(group, kind="stable")
             cuts = np.flatnonzero(np.diff(group[order])) + 1
             for part in np.split(order, cuts):
-                out.append((int(group[part[0]]), 0, pack(chosen[part]), [contexts[k] for k in part]))
+                out.append((int(group[part[0]]), 0, pack(chosen[part]), pack_texts([contexts[k] for k in part])))
         if settled:
             ranges = np.array(settled, RANGE)
-            out += [(b, 1, pack(p), []) for b, p in split_by(ranges, doc_bucket(ranges["doc"], n_buckets))]
+            out += [(b, 1, pack(p), None) for b, p in split_by(ranges, doc_bucket(ranges["doc"], n_buckets))]
         columns = list(zip(*out)) or [[], [], [], []]
+        del sent, contexts, seen, texts
+        give_back()
         return pa.table(
             {
                 "bucket": pa.array(columns[0], pa.int32()),
                 "kind": pa.array(columns[1], pa.int32()),
                 "blob": pa.array(columns[2], pa.binary()),
-                "texts": pa.array(columns[3], pa.list_(pa.binary())),
+                "texts": pa.array(columns[3], pa.binary()),
             }
         )
 
@@ -359,16 +414,17 @@ def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, by_plac
 Identify = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
 
-def _resolve(contexts: DataFrame, units, n_docs: int, by_place: bool, identify: Identify) -> DataFrame:
-    tail = units.window - 1
-
+def _resolve(contexts: DataFrame, units, n_docs: int, by_place: bool, identify: Identify, alone: bool) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         kinds, blobs = np.array(group.column("kind")), group.column("blob").to_pylist()
         ranges = [unpack_all((b for b, k in zip(blobs, kinds) if k), RANGE)]
-        rows = unpack_all((b for b, k in zip(blobs, kinds) if not k), OCC)
-        texts = [t for ts, k in zip(group.column("texts").to_pylist(), kinds) if not k for t in ts]
-        ranges += later_windows(rows, texts, tail, by_place, identify)
+        rows = unpack_all((b for b, k in zip(blobs, kinds) if not k), CTX)
+        texts = [t for blob, k in zip(group.column("texts").to_pylist(), kinds) if not k for t in unpack_texts(blob)]
+        ranges += later_windows(rows, texts, units, by_place, identify, alone)
         found = np.concatenate(ranges)
+        found = found[np.lexsort((found["start"], found["nth"], found["doc"]))]
+        del rows, texts, ranges
+        give_back()
         return _batch([(b, 0, pack(p)) for b, p in split_by(found, doc_bucket(found["doc"], n_docs))])
 
     return contexts.groupBy("bucket").applyInArrow(run, SCHEMA)
@@ -376,22 +432,24 @@ def _resolve(contexts: DataFrame, units, n_docs: int, by_place: bool, identify:
 
 def _ranges(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows), RANGE)
-    out["doc"], out["crc"], out["start"], out["end"] = rows["doc"], rows["crc"], starts, ends
+    out["doc"], out["nth"], out["start"], out["end"] = rows["doc"], rows["nth"], starts, ends
     return out
 
 
-def later_windows(rows: np.ndarray, texts: list[bytes], tail: int, by_place: bool, identify: Identify) -> list[np.ndarray]:
+def later_windows(rows: np.ndarray, texts: list[bytes], units, by_place: bool, identify: Identify, alone: bool) -> list[np.ndarray]:
     """Ranges of the windows of ``rows`` that an earlier row holds too, by exact content.
 
     Rows with an equal context and anchor form a class.  What is later than
     its class's earliest row is removed whole; the earliest rows' windows are
-    compared with those of the other classes of the same anchor.
+    compared with those of the other classes of the same anchor.  ``alone``:
+    ``identify`` also gets classes of several rows without another class.
     """
     if not len(rows):
         return []
+    tail = units.window - 1
     order = np.lexsort((rows["first"], rows["doc"]))
     numbers: dict[tuple[int, bytes], int] = {}
-    keys = rows["key"].tolist()
+    keys = rows["back"].tolist()
     of_row = np.empty(len(rows), np.int64)
     least: list[int] = []
     for i in order.tolist():  # earliest first
@@ -400,20 +458,21 @@ def later_windows(rows: np.ndarray, texts: list[bytes], tail: int, by_place: boo
             least.append(i)
         of_row[i] = c
     least_of = np.array(least)[of_row]
+    whole = rows["doc"] > rows["doc"][least_of]
     if by_place:
-        whole = np.arange(len(rows)) != least_of
-    else:
-        whole = rows["doc"] > rows["doc"][least_of]
+        whole |= (rows["doc"] == rows["doc"][least_of]) & (rows["first"] > rows["first"][least_of])
     gone = rows[whole]
     out = [_ranges(gone, gone["first"], gone["first"] + gone["n"].astype(np.int32) + tail)]
 
     heads = rows[least]
-    by_key = np.argsort(heads["key"], kind="stable")
-    starts = runs_of(heads["key"][by_key])
+    anchors_seen: dict[bytes, int] = {}
+    anchor = np.array([anchors_seen.setdefault(units.anchor_of(texts[i], keys[i]), len(anchors_seen)) for i in least])
+    by_key = np.argsort(anchor, kind="stable")
+    starts = runs_of(anchor[by_key])
     sizes = np.diff(np.append(starts, len(by_key)))
     members = np.bincount(of_row, minlength=len(least))
     # Classes alone on their anchor share no window with others; the passage of a class of several rows is whole.
-    several = np.repeat(sizes > 1, sizes) | (members[by_key] > 1)
+    several = np.repeat(sizes > 1, sizes) | (alone & (members[by_key] > 1))
     chosen = by_key[several]
     if not len(chosen):
         return out
@@ -432,7 +491,7 @@ def later_windows(rows: np.ndarray, texts: list[bytes], tail: int, by_place: boo
     earliest = np.empty(len(order), np.int64)
     earliest[order] = first
     late = (doc > doc[earliest]) | (by_place & (doc == doc[earliest]) & (place > place[earliest]))
-    # Rows of the class in the least one's document are as late as it: each gets the same windows.
+    # Rows of the class that are as early as its least one get the same windows.
     twins = np.flatnonzero(~whole)
     by_class: dict[int, list[int]] = {}
     for i in twins.tolist():
@@ -443,7 +502,7 @@ def later_windows(rows: np.ndarray, texts: list[bytes], tail: int, by_place: boo
     begins = np.flatnonzero(np.diff(cls, prepend=-1) | (np.diff(offset, prepend=-2) != 1))
     lasts = np.append(begins[1:], len(cls)) - 1
     spans = [
-        (rows["doc"][i], rows["crc"][i], rows["first"][i] + offset[b], rows["first"][i] + offset[e] + 1 + tail)
+        (rows["doc"][i], rows["nth"][i], rows["first"][i] + offset[b], rows["first"][i] + offset[e] + 1 + tail)
         for b, e in zip(begins.tolist(), lasts.tolist())
         for i in by_class[int(chosen[cls[b]])]
     ]
@@ -467,14 +526,15 @@ def _removed(docs: DataFrame, ranges: DataFrame, schema: str, finish: Callable)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = unpack_all(right.column("blob").to_pylist(), RANGE)
-        found = found[np.lexsort((found["crc"], found["doc"]))]
-        cuts = np.flatnonzero((np.diff(found["doc"]) != 0) | (np.diff(found["crc"].astype(np.int64)) != 0)) + 1 if len(found) else []
-        spans = {(int(p["doc"][0]), int(p["crc"][0])): p for p in np.split(found, cuts)} if len(found) else {}
-        rows = []
-        none = np.empty(0, np.int64)
+        found = found[np.lexsort((found["nth"], found["doc"]))]
+        cuts = np.flatnonzero((np.diff(found["doc"]) != 0) | (np.diff(found["nth"].astype(np.int64)) != 0)) + 1 if len(found) else []
+        spans = {(int(p["doc"][0]), int(p["nth"][0])): p for p in np.split(found, cuts)} if len(found) else {}
+        rows, none = [], np.empty(0, np.int64)
+        texts = _docs_of(left)
         for doc, raw in zip(left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist()):
             raw = raw or b""
-            p = spans.get((NULL_ID if doc is None else doc, zlib.crc32(raw)))
+            number = NULL_ID if doc is None else doc
+            p = spans.get((number, texts[number].index(raw)))
             a, b = union(p["start"].astype(np.int64), p["end"].astype(np.int64)) if p is not None else (none, none)
             rows.append((doc, *finish(raw, a, b)))
         columns = list(zip(*rows)) or [[] for _ in target]
@@ -483,7 +543,7 @@ def _removed(docs: DataFrame, ranges: DataFrame, schema: str, finish: Callable)
     return docs.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(run, f"doc_id long, {schema}")
 
 
-def find(docs: DataFrame, units, identify: Identify, by_place: bool, schema: str, finish: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, units, identify: Identify, by_place: bool, alone: bool, schema: str, finish: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id and what ``finish`` makes of its text and removed ranges.
 
     ``by_place``: a window is later also after its own document's earlier
@@ -496,5 +556,5 @@ def find(docs: DataFrame, units, identify: Identify, by_place: bool, schema: str
     bucketed = rows.select("doc_id", "text", doc_bucket_column(F.coalesce("doc_id", F.lit(NULL_ID)), n).alias("bucket"))
     shared = _shared(_anchors(rows, units, n, not by_place), n, not by_place)
     contexts = _contexts(bucketed, shared, units, n, by_place)
-    ranges = _resolve(contexts, units, n, by_place, identify)
+    ranges = _resolve(contexts, units, n, by_place, identify, alone)
     return _removed(bucketed, ranges, schema, finish)

@@ -26,7 +26,7 @@ from . import repeats
 from .common import table
 
 WINDOW = 50
-ANCHOR = 20
+ANCHOR = 16
 
 
 def ranks(values: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 def duplicate_bytes(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id with counts, and if asked spans (flat starts and ends, in bytes) and kept, the bytes left."""
     schema, finish = (f"{DIGEST}, spans array<int>, kept binary", _spans) if texts else (DIGEST, _digest)
-    return repeats.find(docs, repeats.Bytes(WINDOW, ANCHOR), identify, False, schema, finish)
+    return repeats.find(docs, repeats.Bytes(WINDOW, ANCHOR), identify, False, False, schema, finish)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
