@@ -78,6 +78,45 @@ def test_near_duplicates(spark, docs, odd_rows, empty):
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def brute_copies(texts):
+    """The group number of each text: components at 5-word Jaccard 0.8."""
+    sets = []
+    for text in texts:
+        words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = roots(near, range(len(sets)))
+    return [root[k] for k in range(len(sets))]
+
+
+def edited_texts(seed):
+    """Texts with one to four words of a hundred changed, a large group of them, and one line in very many."""
+    rng = random.Random(seed)
+    words = lambda k: [f"w{rng.randint(0, 3000)}" for _ in range(k)]
+    line = words(30)
+    out = [" ".join(line + words(rng.randint(1, 40))) for _ in range(60)]
+    for copies in (2, 3, 3, 60):
+        base = words(100)
+        for _ in range(copies):
+            own = list(base)
+            for k in rng.sample(range(100), rng.randint(0, 4)):
+                own[k] = "edit" + str(rng.randint(0, 9))
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("seed, hot", [(1, 8), (2, 2), (3, 10**6)])
+def test_stage_groups_are_those_of_jaccard(spark, odd_rows, monkeypatch, seed, hot):
+    monkeypatch.setattr(simhash, "HOT_COUNT", hot)
+    texts = edited_texts(seed) + [r[1] for r in odd_rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = brute_copies(texts)
+    least = {}
+    for k, g in enumerate(group):
+        least.setdefault(g, k)
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == sorted(least.values())
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     rng = random.Random(0)
     path = [(i, i + 1) for i in range(0, 60)]

@@ -16,11 +16,17 @@ without emitting all pairs of a group.
 Defined cases: texts without a word, null included, have fingerprint zero and
 link like others; repeated rows are copies; a null doc_id takes part but is
 never a component id; an empty table gives an empty result.
+
+The pipeline's stage has its own definition: sets of 5-word shingles with a
+Jaccard similarity of at least 0.8.  Such pairs differ in about ten of 64 bits,
+more than keys can be complete for, so their candidates are sets that share an
+element of their prefixes, which misses none, and are then compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations, product
 
 import numpy as np
@@ -30,31 +36,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, utf8, with_columns
+from .common import hidden, materialize, slices, table, utf8, with_columns
 from .components import connected
 
 SHINGLE = 4
 SEED = 42
 TAU = 4
 CHAIN = 4
+#: The pipeline's stage: words of a shingle and the least Jaccard similarity of near copies.
+STAGE_SHINGLE = 5
+NEAR = Fraction(4, 5)
+#: Sets of a key compared pair by pair at once.
+GROUP = 16
+#: Every so many rows are searched for hot shingles: those in so many of them, and so many shingles at most.
+HOT_PART, HOT_COUNT, HOT_KEYS = 8, 8, 500_000
 
 _BYTE_BITS = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], np.int64)
 
 
-def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of the word shingles of ``text``, its ASCII letters lower-cased."""
+def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes of the word shingles of ``text``, its ASCII letters lower-cased; a shorter text is one shingle."""
     words = text.lower().split()
     n = max(1, len(words) - size + 1)
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     hash_of = xxhash.xxh64_intdigest
     if n == 1:
-        hashes = np.array([hash_of(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: n - 1] + 1).tolist()]
-        hashes = np.fromiter([hash_of(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64, n)
+        return np.array([hash_of(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    return np.fromiter([hash_of(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64, n)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of the word shingles of ``text``, its ASCII letters lower-cased."""
+    hashes = shingle_hashes(text, size, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     octets = hashes.view(np.uint8).reshape(n, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
@@ -250,8 +270,153 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def jaccard_prefix(n: int, near: Fraction = NEAR) -> int:
+    """How many of n elements in a common order hold one that every set at ``near`` shares with them."""
+    return n + (-n * near.numerator) // near.denominator + 1 if n else 0
+
+
+def hot_shingles(rows: DataFrame, row: str, size: int) -> np.ndarray:
+    """Shingles that many texts hold, found in a part of ``rows``.  They only order elements: results do not depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            found = [np.unique(shingle_hashes(t, size)) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
+
+    part = rows.where(F.col(row) % HOT_PART == 0).select("text").mapInArrow(run, "key long")
+    counts = part.groupBy("key").count().where(F.col("count") >= HOT_COUNT)
+    top = counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toArrow().column(0).to_numpy()
+    return np.sort(top.view(np.uint64))
+
+
+def with_sets(rows: DataFrame, keep: list[str], hot: np.ndarray, size: int) -> DataFrame:
+    """``rows`` with set_id, set_size and the prefix of the set of shingles: its hot ones come last in the order."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def factory():
+        often = shared.value
+
+        def make(texts: pa.Array) -> list:
+            ids, sizes, prefixes = [], [], []
+            for text in utf8(texts):
+                found = np.unique(shingle_hashes(text, size))
+                at = np.minimum(np.searchsorted(often, found), max(len(often) - 1, 0))
+                late = often[at] == found if len(often) else np.zeros(len(found), bool)
+                ids.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                prefixes.append(np.concatenate([found[~late], found[late]])[: jaccard_prefix(len(found))].view(np.int64))
+            return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int64), prefixes]
+
+        return make
+
+    fields = [T.StructField("set_id", T.LongType()), T.StructField("set_size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    return with_columns(rows, ["text"], fields, factory, keep)
+
+
+def candidate_pairs(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that share a key of (key, comp, n, id) and may be near by their sizes.
+
+    Sets of one comp need no pair.  Without comps (null), groups of more than
+    ``GROUP`` give each set's pairs with the least and the next one only.
+    """
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    up, down = NEAR.numerator, NEAR.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * 4
+
+        def done(keys, comps, ns, ids) -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]) if len(keys) else np.empty(0, np.int64)
+            sizes = np.diff(np.append(starts, len(keys)))
+            firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+            def take(i, j) -> None:
+                good = (ns[i] * down >= ns[j] * up) & ((comps[i] != comps[j]) | (comps[i] == 0))
+                firsts.append(ids[i[good]])
+                seconds.append(ids[j[good]])
+
+            for size in range(2, GROUP + 1):
+                at = starts[sizes == size]
+                for i, j in combinations(range(size), 2) if len(at) else ():
+                    take(at + i, at + j)
+            for at, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist()):
+                every = np.arange(at, at + size)
+                if not comps[at]:
+                    take(np.full(size - 1, at), every[1:])
+                    take(every[:-1], every[1:])
+                else:
+                    for k in range(size - 1):
+                        take(np.full(size - 1 - k, at + k), every[k + 1 :])
+            a, b = np.concatenate(firsts), np.concatenate(seconds)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "comp", "n", "id")]
+            held = [np.concatenate(x) for x in zip(rest, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            rest = [x[cut:] for x in held]
+            yield done(*[x[:cut] for x in held])
+        yield done(*rest)
+
+    dealt = posts.select("key", "comp", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    return dealt.mapInArrow(run, schema).distinct()
+
+
+def near_pairs(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of at least ``NEAR``; ``texts`` (id, text)."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            good = []
+            for x, y in zip(utf8(batch.column("text_a")), utf8(batch.column("text_b"))):
+                x, y = np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * NEAR.denominator >= (len(x) + len(y) - both) * NEAR.numerator)
+            good = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
+
+    sides = [texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+
+
+def near_copies(rows: DataFrame, row: str, size: int = STAGE_SHINGLE) -> DataFrame:
+    """(row, set_id, component): components of the texts whose shingle sets are near; ``rows`` (row, text).
+
+    Every pair at ``NEAR`` shares an element of both prefixes, so no link is
+    missed.  Large groups are linked by stars first; then only their pairs
+    across components are left to compare.
+    """
+    sets = materialize(with_sets(rows, [row], hot_shingles(rows, row, size), size), "sets")
+    classes = materialize(
+        sets.groupBy("set_id").agg(F.min(row).alias("head"), F.first("set_size").alias("n"), F.first("prefix").alias("prefix")), "set-classes"
+    )
+    posts = classes.select("n", F.col("set_id").alias("id"), F.explode("prefix").alias("key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "candidates")
+        heads = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(classes.select("set_id", "head"), "set_id")
+        texts = heads.join(rows, heads["head"] == rows[row]).select(F.col("set_id").alias("id"), "text")
+        return materialize(near_pairs(pairs, materialize(texts, "candidate-texts"), size), "near-pairs")
+
+    found = verified(candidate_pairs(posts.withColumn("comp", F.lit(0).cast("long"))))
+    large = posts.groupBy("key").count().where(F.col("count") > GROUP).select("key")
+    left = materialize(posts.join(large, "key", "left_semi"), "large-groups")
+    if left.limit(1).count():
+        members = connected(found, "near").withColumnRenamed("node", "id")
+        comp = F.coalesce("component", "id")
+        # A comp of 0 would read as none.
+        comps = left.join(members, "id", "left").withColumn("comp", F.when(comp == 0, 1).otherwise(comp))
+        found = found.union(verified(candidate_pairs(comps))).distinct()
+    members = connected(found, "near").withColumnRenamed("node", "set_id")
+    return sets.select(row, "set_id").join(members, "set_id", "left").select(row, "set_id", F.coalesce("component", "set_id").alias("component"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """Keep the row with the least doc_id of each group of texts at 5-word Jaccard ``NEAR`` or more."""
+    row = hidden(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    named = rows.select(row, "doc_id").join(near_copies(rows.select(row, "text"), row), row)
+    kept = named.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
