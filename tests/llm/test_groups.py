@@ -117,6 +117,32 @@ def test_stage_groups_are_those_of_jaccard(spark, odd_rows, monkeypatch, seed, h
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == sorted(least.values())
 
 
+def test_stage_keeps_one_row_a_group(spark, odd_rows):
+    copy = "a copy that many rows of this table hold in their text"
+    rows = [
+        *odd_rows,
+        (None, "only null ids hold this text", "en", "s1", 28),
+        (None, "only null ids hold this text", "en", "s2", 28),
+        (None, "a clean row without an id", "en", "s1", 25),
+        (600, copy, "en", "s1", 54),
+        (600, copy, "en", "s1", 54),
+        (601, copy, "en", "s1", 54),
+        (601, "another text of the same id as a copy", "en", "s1", 37),
+        (None, copy, "en", "s1", 54),
+    ]
+    group = brute_copies([r[1] for r in rows])
+    least = {}
+    for k, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0)
+        least[group[k]] = min(least.get(group[k], (key, r[0])), (key, r[0]), key=lambda x: x[0])
+    got = simhash.stage(spark, spark.createDataFrame(rows, DDL).repartition(3), "").collect()
+    texts = {}
+    for k, r in enumerate(rows):
+        texts.setdefault(r[1], group[k])
+    assert sorted(texts[r.text] for r in got) == sorted(least)
+    assert all(r.doc_id == least[texts[r.text]][1] for r in got)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     rng = random.Random(0)
     path = [(i, i + 1) for i in range(0, 60)]

@@ -414,9 +414,11 @@ def near_copies(rows: DataFrame, row: str, size: int = STAGE_SHINGLE) -> DataFra
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the least doc_id of each group of texts at 5-word Jaccard ``NEAR`` or more."""
+    """Keep the row with the least doc_id of each group of texts at 5-word Jaccard ``NEAR`` or more; null ids come last."""
     row = hidden(docs, "_row")
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    named = rows.select(row, "doc_id").join(near_copies(rows.select(row, "text"), row), row)
-    kept = named.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    of_row = near_copies(rows.select(row, "text"), row).select(row, "component")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row))
+    named = rows.select(row, order.alias("order")).join(of_row, row)
+    kept = named.groupBy("component").agg(F.min("order").alias("order")).select(F.col(f"order.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
