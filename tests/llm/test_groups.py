@@ -349,6 +349,26 @@ def test_quotes_make_threads(spark):
     assert chat.reply_ordered(empty).collect() == []
 
 
+def test_quotes_of_some_lines_and_of_other_holders(spark):
+    rows = [
+        (1, 0, "u", "one a\ntwo b\nthree c\n\npara d\n\npara e"),
+        (1, 1, "u", "other"),
+        (1, 2, "u", "> One a\n> two  b\nsome lines"),
+        (1, 3, "u", "> para d\n>\n> para e\nsome paragraphs"),
+        (1, 4, "u", "> two b\n> para d\nnot consecutive"),
+        (2, 0, "u", "> shared words\nearly"),
+        (2, 1, "u", "shared words"),
+        (3, 5, "u", "shared words"),
+        (None, 0, "u", "lost words"),
+        (4, 0, "u", "lost words"),
+        (5, 0, "u", "> lost words\nfound"),
+    ]
+    found = chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    out = {r.body: (r.n_linked, r.parent_turn) for r in found}
+    assert out["some lines"] == (1, 0) and out["some paragraphs"] == (1, 0) and out["not consecutive"] == (0, 3)
+    assert out["early"] == (1, None) and out["found"] == (1, None)
+
+
 def test_quotes_against_sql(spark):
     conversations = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
     names = ["conv_id", "turn", "role", "body_sha256", "n_quotes", "n_linked", "parent_turn", "thread_turn", "reply_depth", "position"]

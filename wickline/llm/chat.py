@@ -5,9 +5,10 @@ their depth is the number of marks.  A passage is a run of lines of one depth
 of at least 1.  A message's body is its unquoted lines, without a line that
 only announces a quote ("... wrote:").  Passages and bodies are normalised
 (marks off, lower case, white space collapsed) and hashed; a passage links to
-the first message of its conversation whose body, or a paragraph or line of
-it, has the hash, if that is an earlier turn, and else to the first such
-message of all conversations.  A message replies to the message that its
+the first message of its conversation whose body, or consecutive lines of it
+(paragraphs are such, lines without a word do not count), has the hash, if
+that is an earlier turn, and else to the first such message of the other
+conversations.  A message replies to the message that its
 first linked passage of depth 1 quotes from its conversation, and else to the
 turn before it.  Conversations come out in reply order: threads by their
 first turn, and a message always after the one it replies to.
@@ -61,28 +62,35 @@ def body_of(lines: Column) -> Column:
 
 
 def passages_of(lines: Column) -> Column:
-    """Structs (depth, text) of the quoted runs in order, the text normalised."""
-    Acc = "array<struct<depth:int,text:string>>"
+    """Structs (depth, text, n) of the quoted runs in order, the text normalised; n is its lines with a word."""
+    Acc = "array<struct<depth:int,text:string,n:int>>"
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
+        counts = (normalised(x["line"]) != "").cast("int")
         joined = F.concat(
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(x["depth"].alias("depth"), F.concat(last["text"], F.lit(" "), x["line"]).alias("text"))),
+            F.array(F.struct(x["depth"].alias("depth"), F.concat(last["text"], F.lit(" "), x["line"]).alias("text"), (last["n"] + counts).alias("n"))),
         )
-        fresh = F.concat(acc, F.array(F.struct(x["depth"].alias("depth"), x["line"].alias("text"))))
+        fresh = F.concat(acc, F.array(F.struct(x["depth"].alias("depth"), x["line"].alias("text"), counts.alias("n"))))
         return F.when((F.size(acc) > 0) & (last["depth"] == x["depth"]), joined).otherwise(fresh)
 
     runs = F.aggregate(lines, F.array().cast(Acc), lambda acc, x: step(acc, x).cast(Acc))
     quoted = F.filter(runs, lambda r: r["depth"] > 0)
-    clean = F.transform(quoted, lambda r: F.struct(r["depth"].alias("depth"), normalised(r["text"]).alias("text")))
+    clean = F.transform(quoted, lambda r: F.struct(r["depth"].alias("depth"), normalised(r["text"]).alias("text"), r["n"].alias("n")))
     return F.filter(clean, lambda r: r["text"] != "")
 
 
-def originals_of(body: Column) -> Column:
-    """The normalised body, its paragraphs and its lines, each once."""
+def originals_of(body: Column, runs: list[int]) -> Column:
+    """The normalised body, its paragraphs, its lines and its runs of so many lines with a word, each once."""
     parts = F.concat(F.array(body), F.split(body, r"\n[ \t\r]*\n"), F.split(body, "\n"))
-    return F.array_distinct(F.filter(F.transform(parts, normalised), lambda p: p != ""))
+    lines = F.filter(F.transform(F.split(body, "\n"), normalised), lambda p: p != "")
+
+    def joined(n: int) -> Column:
+        starts = F.when(F.size(lines) >= n, F.sequence(F.lit(1), F.size(lines) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, n), " "))
+
+    return F.array_distinct(F.filter(F.concat(F.transform(parts, normalised), *map(joined, runs)), lambda p: p != ""))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -90,7 +98,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", "role", lines_of(F.col("text")).alias("lines"))
     # Texts without a mark, the usual case, need no runs.
     quoted = F.exists("lines", lambda x: x["depth"] > 0)
-    none = F.array().cast("array<struct<depth:int,text:string>>")
+    none = F.array().cast("array<struct<depth:int,text:string,n:int>>")
     return rows.select(
         "conv_id", "turn", "role", body_of(F.col("lines")).alias("body"), F.when(quoted, passages_of(F.col("lines"))).otherwise(none).alias("passages")
     )
@@ -99,16 +107,22 @@ def parsed(messages: DataFrame) -> DataFrame:
 def linked(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, at, depth, to_conv, to_turn): each passage and the message it quotes, if found."""
     quotes = rows.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("at", "passage"))
+    # The lengths that quotes have, so that a body gives that many runs a line.
+    runs = sorted(r.n for r in quotes.select("passage.n").where("n > 1").distinct().collect())
     quotes = quotes.select("conv_id", "turn", "at", F.col("passage.depth").alias("depth"), F.sha2("passage.text", 256).alias("hash"))
     # Only hashes that are quoted at all are looked up among the bodies.
     wanted = quotes.select("hash").distinct()
-    bodies = rows.select("conv_id", "turn", F.explode(originals_of(F.col("body"))).alias("part"))
+    bodies = rows.select("conv_id", "turn", F.explode(originals_of(F.col("body"), runs)).alias("part"))
     held = bodies.select("conv_id", "turn", F.sha2("part", 256).alias("hash")).join(wanted, "hash", "left_semi")
     near = held.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
-    far = near.groupBy("hash").agg(F.min(F.struct("conv_id", "near_turn")).alias("far"))
+    # The two least conversations: one of them is not the quoting one.  Spark limits the rows of a hash before it deals them out.
+    order = Window.partitionBy("hash").orderBy("conv_id")
+    least = near.where("conv_id IS NOT NULL AND near_turn IS NOT NULL").withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    far = least.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("conv_id", "near_turn"))).alias("holders"))
     found = quotes.join(near, ["conv_id", "hash"], "left").join(far, "hash", "left")
+    found = found.withColumn("far", F.get(F.filter("holders", lambda h: h["conv_id"] != F.col("conv_id")), F.lit(0)))
     here = F.col("near_turn") < F.col("turn")
-    away = F.coalesce(F.col("far.conv_id") != F.col("conv_id"), F.lit(False))
+    away = F.col("far").isNotNull()
     return found.select(
         "conv_id",
         "turn",
