@@ -1,21 +1,31 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A clause is read as a string of symbols: I an insult, T a target, H a threat,
-N a negation, R reported speech, x any other word.  Small transducers rewrite
-it one after another, which composes them: reported speech and negation turn
-the insults in their scope into harmless ones, targets near an insult or a
-threat turn it into a directed one, from either side.  What a clause yields
-is the weights of its matches by kind; a document's score is a logistic
-function of the sums over its clauses, so single words count only as far as
-their clause lets them.
+N a negation, R reported speech, x any other word.  Small transducers know one
+thing each: reported speech and negation make the insults and threats in their
+scope harmless; a target before or after an insult or a threat makes it a
+directed one; insults that share a clause pile up; the last one weighs each
+kind.  They are composed into one transducer, whose states are tuples of
+theirs and whose arcs add their weights.  Looking ahead is nondeterminism: an
+insult may guess that a target or another insult follows, and a path whose
+guess fails does not end in a final state.  A clause's reading is its best
+path, found by dynamic programming over the active states.
+
+A document's score is a logistic function of what its matched clauses weigh,
+by kind.  A word alone is no match: a clause that holds nothing but one insult
+counts only from the document's second such clause on, so a single isolated
+insult, whatever its weight, scores like a text without one.
 
 The insult lexicon (whole words, and stems that begin a longer word) and its
-weights, and the logistic weights of the kinds, are learned from a bounded
-sample of labelled rows; languages need no list of their own.  The function
-words below are fixed.
+weights, and the logistic weights of the kinds, are learned from a sample of
+labelled rows, bounded in rows and bytes; languages need no list of their own.
+The function words below are fixed.
 
 Defined cases: null or empty texts match nothing and score what a text
-without a match scores; without labelled rows of both kinds every score is 0.
+without a match scores; without labelled rows of both kinds every score is 0;
+rows that share a doc_id are scored each and learned from once; very long
+texts are scored whole, and learned from as long as the sample has room for
+them; the stage leaves a column named score as it is.
 """
 
 from __future__ import annotations
@@ -32,11 +42,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, with_columns
+from .common import hidden, table, with_columns
 from .labels import sample
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 SAMPLE = 6000
+#: Bytes of their texts, at most: all that reaches the driver.
+SAMPLE_BYTES = 48 << 20
 THRESHOLD = 0.7
 MAX_LEXICON = 400
 STEM_MIN, STEM_MAX = 3, 10
@@ -55,47 +67,144 @@ _CLEAN = bytes(
 )
 
 
-class Transducer:
-    """Rewrites a string of symbols; ``reach`` symbols after a trigger are in its scope (0: to the end)."""
-
-    def __init__(self, trigger: str, rewrites: dict[str, str], reach: int, backward: bool = False):
-        self.trigger, self.backward = trigger, backward
-        # arcs[state][symbol] -> (state, symbol); the state counts down the scope.
-        depth = reach or 1
-        symbols = "ITHNRxiord"
-        self.arcs: list[dict[str, tuple[int, str]]] = []
-        for state in range(depth + 1):
-            arc = {}
-            for s in symbols:
-                after = depth if s == trigger else state if not reach else max(0, state - 1)
-                arc[s] = (after, rewrites.get(s, s) if state else s)
-            self.arcs.append(arc)
-
-    def __call__(self, symbols: str) -> str:
-        if self.trigger not in symbols:
-            return symbols
-        state, out = 0, []
-        for s in reversed(symbols) if self.backward else symbols:
-            state, made = self.arcs[state][s]
-            out.append(made)
-        return "".join(reversed(out) if self.backward else out)
+SYMBOLS = "ITHNRxiropd"
 
+#: (state, symbol) -> [(next state, symbol, weight)]
+Arcs = dict
 
-#: i a negated insult, r a reported one, o a directed one, d a directed threat.
-GRAMMAR = (
-    Transducer("R", {"I": "r", "H": "x"}, 0),
-    Transducer("N", {"I": "i", "H": "x"}, 3),
-    Transducer("T", {"I": "o", "H": "d"}, 4),
-    Transducer("T", {"I": "o", "H": "d"}, 4, backward=True),
-)
-#: Sums by kind: insults in all, directed, negated, reported; directed threats; clauses and entries with an insult.
-KINDS = 7
+
+class Transducer:
+    """A weighted finite-state transducer that starts in ``start``, may end in ``finals`` and adds weights along a path."""
+
+    def __init__(self, start, finals: set, arcs: Arcs):
+        self.start, self.finals, self.arcs = start, finals, arcs
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes.  States are pairs, weights add."""
+        start, arcs, todo = (self.start, other.start), {}, [(self.start, other.start)]
+        seen = {start}
+        while todo:
+            here = todo.pop()
+            for symbol in SYMBOLS:
+                out = []
+                for mine, middle, weight in self.arcs.get((here[0], symbol), ()):
+                    for theirs, made, more in other.arcs.get((here[1], middle), ()):
+                        out.append(((mine, theirs), made, weight + more))
+                        if (mine, theirs) not in seen:
+                            seen.add((mine, theirs))
+                            todo.append((mine, theirs))
+                if out:
+                    arcs[here, symbol] = out
+        return Transducer(start, {s for s in seen if s[0] in self.finals and s[1] in other.finals}, arcs)
+
+    def numbered(self) -> Transducer:
+        """With numbers for states, and without those from which no final state is reached."""
+        before: dict = {}
+        for (state, _), arcs in self.arcs.items():
+            for after, _, _ in arcs:
+                before.setdefault(after, set()).add(state)
+        alive, todo = set(self.finals), list(self.finals)
+        while todo:
+            for state in before.get(todo.pop(), ()):
+                if state not in alive:
+                    alive.add(state)
+                    todo.append(state)
+        number = {s: k for k, s in enumerate(sorted(alive, key=str))}
+        arcs = {
+            (number[s], x): [(number[a], y, w) for a, y, w in out if a in alive] for (s, x), out in self.arcs.items() if s in alive
+        }
+        return Transducer(number[self.start], {number[s] for s in self.finals}, arcs)
+
+    def best(self, symbols: str, factors: list[float]) -> str:
+        """What the path of greatest weight writes; a symbol's arc weights are times its factor."""
+        # state -> (weight, path as nested pairs)
+        active: dict = {self.start: (0.0, None)}
+        for symbol, factor in zip(symbols, factors):
+            reached: dict = {}
+            for state, (total, path) in active.items():
+                for after, made, weight in self.arcs.get((state, symbol), ()):
+                    worth = total + weight * factor
+                    if after not in reached or worth > reached[after][0]:
+                        reached[after] = (worth, (path, made))
+            active = reached
+        path = max((active[s] for s in active if s in self.finals), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            path, made = path
+            out.append(made)
+        return "".join(reversed(out))
+
+
+def scope(trigger: str, rewrites: dict[str, str], reach: int | None) -> Transducer:
+    """Rewrites symbols among the ``reach`` after a trigger (None: all to the clause's end)."""
+    depth, arcs = reach or 1, {}
+    for state in range(depth + 1):
+        for s in SYMBOLS:
+            after = depth if s == trigger else state if reach is None else max(0, state - 1)
+            arcs[state, s] = [(after, rewrites.get(s, s) if state else s, 0.0)]
+    return Transducer(0, set(range(depth + 1)), arcs)
+
+
+def ahead(trigger: str, rewrites: dict[str, str], reach: int) -> Transducer:
+    """Rewrites symbols that a trigger follows within ``reach``: a state counts what is left to a guess."""
+    arcs: dict = {}
+    for state in range(reach + 1):
+        for s in SYMBOLS:
+            if s == trigger:
+                arcs[state, s] = [(0, s, 0.0)]
+                continue
+            left = state - 1
+            arcs[state, s] = [] if state == 1 else [(max(0, left), s, 0.0)]
+            if s in rewrites and state != 1:
+                arcs[state, s].append((left if state else reach, rewrites[s], 0.0))
+    return Transducer(0, {0}, arcs)
+
+
+def piles(one: str, many: str, also: str) -> Transducer:
+    """Rewrites ``one`` to ``many`` where the clause holds another of ``one`` or ``also``."""
+    arcs: dict = {}
+    for state in ("none", "lone", "waits", "piled"):
+        for s in SYMBOLS:
+            arcs[state, s] = [(state, s, 0.0)]
+        if state == "none":
+            arcs[state, one] = [("lone", one, 0.0), ("waits", many, 0.0)]
+            arcs[state, also] = [("piled", also, 0.0)]
+        elif state == "lone":
+            arcs[state, one], arcs[state, also] = [], []
+        else:
+            arcs[state, one] = [("piled", many, 0.0)]
+            arcs[state, also] = [("piled", also, 0.0)]
+    return Transducer("none", {"none", "lone", "piled"}, arcs)
+
+
+def weighs(weights: dict[str, float]) -> Transducer:
+    return Transducer(0, {0}, {(0, s): [(0, s, weights.get(s, 0.0))] for s in SYMBOLS})
+
+
+#: i a negated insult, r a reported one, o a directed one, p one of a pile, d a directed threat.
+REPORT = scope("R", {"I": "r", "H": "x"}, None)
+NEGATION = scope("N", {"I": "i", "H": "x"}, 3)
+TARGET_BEFORE = scope("T", {"I": "o", "H": "d"}, 4)
+TARGET_AFTER = ahead("T", {"I": "o", "H": "d"}, 4)
+PILE = piles("I", "p", "o")
+WEIGHTS = weighs({"I": 1.0, "p": 2.0, "o": 3.0, "d": 3.0})
+
+
+def composed(*parts: Transducer) -> Transducer:
+    """One transducer of all ``parts``, each reading what the one before writes."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.then(part)
+    return whole.numbered()
+
+
+GRAMMAR = composed(REPORT, NEGATION, TARGET_BEFORE, TARGET_AFTER, PILE, WEIGHTS)
+#: Sums by kind: directed insults, piled ones, lone ones beyond the heaviest, directed threats; and matched clauses and all clauses.
+KINDS = 6
 
 
 def rewrite(symbols: str) -> str:
-    for transducer in GRAMMAR:
-        symbols = transducer(symbols)
-    return symbols
+    return GRAMMAR.best(symbols, [1.0] * len(symbols))
 
 
 def normal(text: str | None) -> str:
@@ -111,11 +220,11 @@ _CLASS = {_latin(w): s for s, ws in (("H", THREATS), ("N", NEGATIONS), ("R", REP
 
 
 class Grammar:
-    """A lexicon compiled to an automaton, with the function-word classes."""
+    """A lexicon compiled to an automaton, with the function-word classes and the transducer that reads clauses."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], reader: Transducer = GRAMMAR):
         """``lexicon``: "=word" is a whole word, "stem+" begins a longer one; with weights."""
-        self.lexicon = lexicon
+        self.lexicon, self.reader = lexicon, reader
         self.automaton = ahocorasick.Automaton()
         for entry, weight in lexicon.items():
             key = "[" + entry[1:] if entry[0] == "=" else "[" + entry[:-1]
@@ -127,11 +236,11 @@ class Grammar:
         self.automaton.make_automaton()
 
     def features(self, text: str | None) -> list[float]:
-        """The sums by kind, and the length."""
+        """The sums by kind of the clauses' best readings, and the numbers of matched and of all clauses."""
         clean = normal(text)
-        sums = [0.0] * KINDS
+        directed = piled = threats = matched = 0.0
+        alone: list[float] = []
         clauses: dict[int, dict[int, float]] = {}
-        entries = set()
         marked = clean.replace("\n", " \n ").replace(" ", " [") if len(self.automaton) else ""
         for last, (whole, stem, entry) in self.automaton.iter(marked) if marked else ():
             after = marked[last + 1]
@@ -142,37 +251,36 @@ class Grammar:
                 at = marked.rfind("[", 0, last + 1)
                 words = clauses.setdefault(start, {})
                 words[at] = max(weight, words.get(at, 0.0))
-                entries.add(entry)
         for start, found in clauses.items():
             end = marked.find("\n", start)
             end = len(marked) if end < 0 else end
-            symbols, weights, at = [], [], start
+            symbols, weights = [], []
             for token in re.finditer(r"\[([^ \n]+)", marked[start:end]):
                 weight = found.get(start + token.start(), 0.0)
                 symbols.append("I" if weight else _CLASS.get(token[1], "x"))
-                weights.append(weight)
-            for symbol, weight in zip(rewrite("".join(symbols)), weights):
-                if symbol in "Io":
-                    sums[0] += weight
+                weights.append(weight or 1.0)
+            match = False
+            for symbol, weight in zip(self.reader.best("".join(symbols), weights), weights):
                 if symbol == "o":
-                    sums[1] += weight
-                elif symbol == "i":
-                    sums[2] += weight
-                elif symbol == "r":
-                    sums[3] += weight
+                    directed += weight
+                elif symbol == "p":
+                    piled += weight
                 elif symbol == "d":
-                    sums[4] += 1.0
-            sums[5] += any(weights)
-        sums[6] = float(len(entries - {""}))
-        return [*sums, float(marked.count("["))]
+                    threats += 1.0
+                elif symbol == "I":
+                    alone.append(weight)
+                match |= symbol in "opd"
+            matched += match
+        matched += max(0, len(alone) - 1)
+        beyond = sum(alone) - max(alone, default=0.0)
+        return [directed, piled, beyond, threats, matched, float(clean.count("\n") + 1)]
 
 
 def design(rows: Iterable[list[float]]) -> np.ndarray:
-    """What the logistic function sees: logarithms of the sums, and of their density."""
-    x = np.array(list(rows), float).reshape(-1, KINDS + 1)
-    words = np.maximum(x[:, -1:], 1.0)
-    density = np.minimum(100.0 * x[:, [0, 5]] / words, 50.0)
-    return np.hstack([np.ones((len(x), 1)), np.log1p(x[:, :KINDS]), np.log1p(density)])
+    """What the logistic function sees: logarithms of the sums and of the share of clauses that match."""
+    x = np.array(list(rows), float).reshape(-1, KINDS)
+    share = np.minimum(100.0 * x[:, 4:5] / np.maximum(x[:, 5:6], 1.0), 50.0)
+    return np.hstack([np.ones((len(x), 1)), np.log1p(x[:, :5]), np.log1p(share)])
 
 
 def logistic(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -238,30 +346,30 @@ def learn_lexicon(texts: list[str | None], toxic: np.ndarray) -> dict[str, float
 class Model:
     """A grammar with its logistic weights; small, and sent with the tasks."""
 
-    def __init__(self, lexicon: dict[str, float], beta: list[float] | None):
-        self.lexicon, self.beta, self._grammar = lexicon, beta, None
+    def __init__(self, lexicon: dict[str, float], beta: list[float] | None, reader: Transducer = GRAMMAR):
+        self.lexicon, self.beta, self.reader, self._grammar = lexicon, beta, reader, None
 
     def __getstate__(self):
-        return self.lexicon, self.beta
+        return self.lexicon, self.beta, self.reader
 
     def __setstate__(self, state):
-        (self.lexicon, self.beta), self._grammar = state, None
+        (self.lexicon, self.beta, self.reader), self._grammar = state, None
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.beta is None or not texts:
             return np.zeros(len(texts))
-        self._grammar = self._grammar or Grammar(self.lexicon)
+        self._grammar = self._grammar or Grammar(self.lexicon, self.reader)
         return logistic(design([self._grammar.features(t) for t in texts]), np.array(self.beta))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
+def fit(texts: list[str | None], labels: list[int], reader: Transducer = GRAMMAR) -> Model:
     toxic = np.array(labels, int) == 1
     if not toxic.any() or toxic.all():
         return Model({}, None)
     lexicon = learn_lexicon(texts, toxic)
-    grammar = Grammar(lexicon)
+    grammar = Grammar(lexicon, reader)
     beta = fit_logistic(design([grammar.features(t) for t in texts]), toxic.astype(float))
-    return Model(lexicon, beta.tolist())
+    return Model(lexicon, beta.tolist(), reader)
 
 
 def held_out() -> Column:
@@ -269,18 +377,19 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Model:
-    """A model from at most ``n`` labelled rows that are not held out."""
-    rows = sample(docs.select("doc_id", "text"), labels, "toxic", n, where=~held_out()).select("text", "label").collect()
+    """A model from at most ``n`` labelled rows that are not held out, of ``SAMPLE_BYTES`` of text."""
+    found = sample(docs.select("doc_id", "text"), labels, "toxic", n, ~held_out(), "text", SAMPLE_BYTES)
+    rows = found.orderBy("doc_id").select("text", "label").collect()
     return fit([r.text for r in rows], [r.label for r in rows])
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with score, row by row and without a shuffle."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``docs`` with the score as column ``name``, row by row and without a shuffle."""
 
     def factory():
         return lambda texts: [model.scores(texts.to_pylist())]
 
-    return with_columns(docs, [text_col], [T.StructField("score", T.DoubleType())], factory, keep)
+    return with_columns(docs, [text_col], [T.StructField(name, T.DoubleType())], factory, keep)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,5 +401,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that are not predicted toxic; the model is learned from ``docs`` and its labels."""
-    scored = with_score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    score = hidden(docs, "_score")
+    scored = with_score(docs, train(docs, table(spark, sf_dir, "labels")), name=score)
+    return scored.where(F.col(score) < THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
