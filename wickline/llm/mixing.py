@@ -1,23 +1,29 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 The words of a source, its documents in a fixed pseudorandom order, are
-packed into blocks of ``block`` words.  Each output shard of ``shard`` slots
-gets source counts by a multinomial draw; the draw is without replacement
-from the mix's quotas, so that each source's total is its target exactly and
-not only on average.  A source's slots, numbered through the shards, are
-mapped through pseudorandom permutations of its block indices (one a pass over
-the source; swap-or-not shuffles, which permute any range in place), and
-blocks join documents by index.
+packed into blocks of at most ``block`` words, whose lengths differ by one at
+most.  Each output shard of ``shard`` slots gets source counts by a
+multinomial draw; the draw is without replacement from the mix's quotas, so
+that each source's total is its target, rounded, and not only on average.  A
+source's slots, numbered through the shards, are mapped through pseudorandom
+permutations of its block indices (one a pass over the source; swap-or-not
+shuffles, which permute any range in place), and blocks join documents by
+index.  A pass that takes less than the source takes as many blocks as that
+needs, and nearly equal shares of them, so that it adds up exactly.
 
 Every window and join has the block, the chunk or a hash bucket in its key,
 so a source with a third of all rows spreads like the others.  Tables with a
 row a source are the only ones sorted as a whole or broadcast, the latter
-behind a check of their count.
+behind a check of their count.  Rows alike in source, doc_id and text are
+counted first and numbered as copies, so that a third of all rows may be one
+text of one doc_id, null included.
 
 Defined cases: null texts have size 0; documents without a word are returned
-with 0 taken; a null source is a source of its own, after all others; equal
-doc_ids keep their rows apart; an empty table gives an empty mix; columns
-besides the named ones are not read.
+with 0 taken; a null source is a source of its own, after all others; rows
+that repeat a doc_id, null or not, keep their rows apart, with a text or
+without; ties are ordered by a hash of the text, so reruns agree; very long
+texts are cut into blocks like others; an empty table gives an empty mix;
+columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, hidden, materialize, table
 
 BLOCK = 64
 SHARD = 4096
@@ -94,15 +100,37 @@ def _with_sources(df: DataFrame, sources: DataFrame, n_sources: int, on: Column
     return df.join(F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources, on)
 
 
+#: What tells a row of the mix's input from all others.
+ROW = ["sid", "doc_id", "mark", "size", "copy"]
+#: Copies of one row that stay together.
+COPIES = 4096
+
+
+def counted(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(source, doc_id, mark, size, copies): the rows alike in source, doc_id and text, counted; mark hashes the text."""
+    text = F.col(text_col)
+    rows = docs.select(
+        F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), n_words(text).alias("size")
+    )
+    return rows.groupBy("source", "doc_id", "mark", "size").agg(F.count("*").alias("copies"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a row for each copy, numbered; few copies unfold in place, many are dealt out by chunks."""
+    few = rows.where(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    many = unfolded(rows.where(F.col("copies") > COPIES), F.col("copies"), "copy")
+    return few.unionByName(many).drop("copies")
+
+
 def placed(rows: DataFrame, n_rows: int) -> DataFrame:
-    """``rows`` (sid, doc_id, size, ...) with start: the words of their source before them.
+    """``rows`` (ROW, ...) with start: the words of their source before them.
 
     Documents are ordered by hash bucket and then doc_id; sums run inside
     buckets, and over the buckets' totals.
     """
     buckets = max(LEAST_BUCKETS, -(-n_rows // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark", F.expr(f"copy div {COPIES}")), F.lit(buckets)))
+    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "mark", "copy").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("total"))
     totals = totals.select("sid", "bucket", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("bucket_start"))
@@ -110,13 +138,20 @@ def placed(rows: DataFrame, n_rows: int) -> DataFrame:
     return inner.join(totals, ["sid", "bucket"]).withColumn("start", F.col("start") + F.col("bucket_start")).drop("bucket", "bucket_start")
 
 
-def quotas(sources: DataFrame, block: int) -> DataFrame:
-    """Blocks, words to take and slots of each source, and where its quota lies among all slots."""
+def with_blocks(sources: DataFrame, block: int) -> DataFrame:
+    """``sources`` with blocks, their least length (short), and how many, the first ones, are longer by one (long)."""
+    rows = sources.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    some = F.greatest("blocks", F.lit(1))
+    return rows.withColumns({"short": F.expr("source_size div greatest(blocks, 1)"), "long": F.col("source_size") % some})
+
+
+def quotas(sources: DataFrame) -> DataFrame:
+    """Words to take, slots of each source and those of a partial pass (parts), and where its quota lies among all slots."""
     words = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
-    rows = sources.withColumns({"words": words, "blocks": F.ceil(F.col("source_size") / block)}).where("words > 0")
-    rest = F.col("words") % F.col("source_size")
-    rows = rows.withColumns({"rest": rest, "whole": F.expr("words div source_size")})
-    rows = rows.withColumn("slots", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block))
+    rows = sources.withColumn("words", words).where("words > 0")
+    rows = rows.withColumns({"rest": F.col("words") % F.col("source_size"), "whole": F.expr("words div source_size")})
+    rows = rows.withColumn("parts", F.least(F.expr("(rest + short - 1) div short"), F.col("blocks")))
+    rows = rows.withColumn("slots", F.col("whole") * F.col("blocks") + F.col("parts"))
     order = Window.orderBy("sid")
     first = F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("slots")
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -143,62 +178,71 @@ def drawn_counts(quota: DataFrame, shard: int, seed: int) -> DataFrame:
     return every.withColumn("shard", (place / shard).cast("long")).groupBy("shard", "sid").agg(F.count("*").alias("count"))
 
 
-def slots(quota: DataFrame, n_sources: int, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """(shard, sid, pass, block, take): the output's slots; take is the words of the block to use."""
+def slots(quota: DataFrame, n_sources: int, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """(shard, sid, pass, block, take): the output's slots; take is the words of the block to use, null for all."""
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = drawn_counts(quota, shard, seed).withColumn("done", F.coalesce(F.sum("count").over(before), F.lit(0)))
     rows = unfolded(counts.select("shard", "sid", "done", "count"), F.col("count"), "k")
-    rows = _with_sources(rows.withColumn("slot", F.col("done") + F.col("k")), quota.select("sid", "blocks", "slots", "rest"), n_sources, "sid")
+    columns = ["sid", "blocks", "short", "long", "whole", "rest", "parts"]
+    rows = _with_sources(rows.withColumn("slot", F.col("done") + F.col("k")), quota.select(*columns), n_sources, "sid")
     number = F.expr("slot div blocks")
-    index = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed + 1), F.col("sid"), number)
-    cut = (F.col("slot") == F.col("slots") - 1) & (F.col("rest") % block > 0)
-    return rows.select(
-        "shard", "sid", number.alias("pass"), index.alias("block"), F.when(cut, F.col("rest") % block).otherwise(F.lit(block).cast("long")).alias("take")
-    )
+    rows = rows.withColumn("block", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed + 1), F.col("sid"), number))
+    # Nearly equal shares of the partial pass's blocks; where it needs all of them, the first long ones give the words beyond the least length.
+    parts = F.greatest("parts", F.lit(1))
+    share = F.expr("rest div greatest(parts, 1)") + (F.col("slot") % F.col("blocks") < F.col("rest") % parts).cast("long")
+    beyond = F.col("rest") - F.col("blocks") * F.col("short")
+    full = F.col("short") + (F.col("block") < beyond).cast("long")
+    take = F.when(number == F.col("whole"), F.when(beyond > 0, full).otherwise(share))
+    return rows.select("shard", "sid", number.alias("pass"), "block", take.alias("take"))
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """The parts of documents in each block; documents without a word keep one row without a block.
+
+    ``rows`` carry their source's short and long: its first ``long`` blocks have short + 1 words, the others short.
+    """
 
+    def block_of(word: str) -> Column:
+        later = f"long + ({word} - long * (short + 1)) div greatest(short, 1)"
+        return F.expr(f"CASE WHEN {word} < long * (short + 1) THEN {word} div (short + 1) ELSE {later} END")
 
-def pieces(rows: DataFrame, block: int) -> DataFrame:
-    """The parts of documents in each block; documents without a word keep one row without a block."""
-    last = F.expr(f"(start + size - 1) div {block}")
-    spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), last))
+    spans = F.when(F.col("size") > 0, F.sequence(block_of("start"), block_of("(start + size - 1)")))
     cut = rows.withColumn("block", F.explode_outer(spans))
-    begin = F.greatest("start", F.col("block") * block)
-    return cut.withColumns(
-        {
-            "at": begin - F.col("block") * block,
-            "from": begin - F.col("start"),
-            "length": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - begin,
-        }
-    )
+    first = F.col("block") * F.col("short") + F.least("block", "long")
+    begin = F.greatest(F.col("start"), first)
+    end = F.least(F.col("start") + F.col("size"), first + F.col("short") + (F.col("block") < F.col("long")).cast("long"))
+    return cut.withColumns({"at": begin - first, "from": begin - F.col("start"), "length": end - begin}).drop("short", "long")
 
 
 def mix(rows: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
-    """The mix of ``rows`` (source, doc_id, size and carried columns).
+    """The mix of ``rows`` (as ``counted`` gives them, written).
 
-    Returns its spans, the sources and their number.  A span is a document's
-    row with shard, pass, from (first word) and taken (words); documents that
-    give nothing have one row with 0 taken.
+    Returns its spans, the sources and their number.  A span is a row's (ROW)
+    part with shard, pass, from (first word) and taken (words); rows that give
+    nothing have one span with 0 taken.
     """
-    n_rows = rows.count()
-    sources = materialize(source_targets(rows), "sources")
+    n_rows = rows.agg(F.sum("copies")).first()[0] or 0
+    every = rows.withColumn("size", F.col("size") * F.col("copies"))
+    sources = materialize(with_blocks(source_targets(every), block), "sources")
     n_sources = sources.count()
-    numbered = _with_sources(rows.withColumnRenamed("source", "_source"), sources, n_sources, F.col("_source").eqNullSafe(F.col("source")))
-    cut = pieces(placed(numbered.drop("_source"), n_rows), block)
-    drawn = slots(quotas(sources, block), n_sources, block, shard, seed)
-    spans = cut.join(drawn, ["sid", "block"], "left")
-    taken = F.greatest(F.least(F.col("length"), F.col("take") - F.col("at")), F.lit(0))
-    # least() skips nulls: a block that no slot takes gives nothing.
-    given = F.when(F.col("take").isNull(), F.lit(0)).otherwise(taken).cast("long")
+    named = sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "short", "long")
+    of_source = _with_sources(numbered(rows), named, n_sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source", "source")
+    cut = pieces(placed(of_source, n_rows))
+    spans = cut.join(slots(quotas(sources), n_sources, shard, seed), ["sid", "block"], "left")
+    taken = F.greatest(F.least("length", F.col("take") - F.col("at")), F.lit(0))
+    # A block that no slot takes gives nothing; one without a take is taken whole.
+    given = F.when(F.col("shard").isNull(), F.lit(0)).when(F.col("take").isNull(), F.col("length")).otherwise(taken).cast("long")
     return spans.withColumn("taken", given), sources, n_sources
 
 
+def taken_words(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """(sid, doc_id, size, source_size, target, taken): a row for each row of ``docs`` (source, doc_id, text)."""
+    spans, _, _ = mix(materialize(counted(docs), "sizes"), block, shard, seed)
+    return spans.groupBy(*ROW, "source_size", "target").agg(F.sum("taken").alias("taken")).drop("mark", "copy")
+
+
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = materialize(docs.select("source", "doc_id", n_words(F.col("text")).alias("size")), "sizes")
-    spans, _, _ = mix(rows)
-    return spans.groupBy("sid", "start", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select(
-        "doc_id", "size", "source_size", "target", "taken"
-    )
+    return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
@@ -206,23 +250,24 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, see
 
     A document taken whole keeps its text; else its taken words are joined by
     spaces.  n_chars follows the text.  Documents are matched by doc_id and a
-    hash of the text, so repeated rows of one document share a text.
+    hash of the text, so rows that repeat both share their other columns.
     """
-    mark = F.xxhash64("text").alias("_mark")
-    rows = materialize(docs.select("source", "doc_id", mark, n_words(F.col("text")).alias("size")), "sizes")
-    spans, _, _ = mix(rows, block, shard, seed)
+    spans, _, _ = mix(materialize(counted(docs), "sizes"), block, shard, seed)
     parts = F.array_sort(F.collect_list(F.struct("from", "taken")))
-    taken = spans.where("taken > 0").groupBy("sid", "start", "doc_id", "_mark", "size", "pass").agg(parts.alias("_parts"), F.sum("taken").alias("_taken"))
-    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
-    left = taken.select(*keys, "_mark", "_parts", (F.col("_taken") == F.col("size")).alias("_whole"))
-    right = docs.select(*keys, mark, *docs.columns).dropDuplicates(["_id", "_null", "_mark"])
+    taken = spans.where("taken > 0").groupBy(*ROW, "pass").agg(parts.alias("_parts"), F.sum("taken").alias("_taken"))
+    id_key, null_key, mark_key = (hidden(docs, c) for c in ("_id", "_null", "_mark"))
+    keys = [F.coalesce("doc_id", F.lit(0)).alias(id_key), F.col("doc_id").isNull().alias(null_key)]
+    part_col, whole_col = hidden(docs, "_parts"), hidden(docs, "_whole")
+    left = taken.select(*keys, F.col("mark").alias(mark_key), F.col("_parts").alias(part_col), (F.col("_taken") == F.col("size")).alias(whole_col))
+    right = docs.select(*keys, F.xxhash64("text").alias(mark_key), *[docs[f"`{c}`"] for c in docs.columns]).dropDuplicates([id_key, null_key, mark_key])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    chosen = F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["taken"].cast("int"))))
-    out = left.join(right, ["_id", "_null", "_mark"]).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(chosen, " ")))
+    chosen = F.flatten(F.transform(part_col, lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["taken"].cast("int"))))
+    out = left.join(right, [id_key, null_key, mark_key]).withColumn("text", F.when(F.col(whole_col), F.col("text")).otherwise(F.array_join(chosen, " ")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` mixed to the sources' targets; documents that the mix takes no word of, empty ones included, have no row."""
     return mixed_documents(docs)
