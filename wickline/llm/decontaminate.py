@@ -14,8 +14,8 @@ has the name of an output column is replaced.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 
 import ahocorasick
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8, with_columns
+from .common import hidden, table, utf8, with_columns
 
 WIDTH = 10
 #: Benchmark bytes per automaton; a larger benchmark is scanned in parts.
@@ -115,7 +115,7 @@ def decontaminate(
     for k, part in enumerate(benchmark_parts(benchmark, item_col, item_text_col, part_bytes)):
         items = sorted({(r.item, bytes(r.text, "utf-8")) for r in part.distinct().toLocalIterator()})
         sent = docs.sparkSession.sparkContext.broadcast(items)
-        cache_key = id(sent)
+        cache_key = uuid.uuid4().hex  # a broadcast's own id may be used again
 
         def factory(sent=sent, first=k == 0, cache_key=cache_key):
             automaton, numbers = _cached(cache_key, sent, width)
@@ -145,7 +145,6 @@ _CACHE: dict = {}
 
 def _cached(key, sent, width):
     """The automaton of a broadcast, built once in each Python worker."""
-    key = (key, width, len(sent.value), hash(tuple(sent.value[:50])))
     if key not in _CACHE:
         _CACHE.clear()
         _CACHE[key] = build_automaton(sent.value, width)
@@ -185,10 +184,18 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(decontaminate(docs, table(spark, sf_dir, "benchmark"), spans=False).select("doc_id", "n_words", "n_hit", "items"))
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a benchmark hit, their columns untouched, whatever their names."""
+    new = {f.name.lower(): hidden(docs, f"_own_{f.name}") for f in FIELDS}
+    own = {c: new[c.lower()] for c in docs.columns if c.lower() in new}
+    found = decontaminate(docs.withColumnsRenamed(own), benchmark, text_col=own.get(text_col, text_col), spans=False)
+    kept = found.where(F.col("n_hit") == 0)
+    return kept.select(*[kept[f"`{own.get(c, c)}`"].alias(c) for c in docs.columns])
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents without a benchmark hit, with their own columns."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), spans=False)
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    return without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 #: DuckDB: the same contract by window hashes instead of an automaton.
