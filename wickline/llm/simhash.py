@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from .common import hidden, materialize, slices, table, utf8, with_columns
 from .components import connected
+from .repeats import Words
 
 SHINGLE = 4
 SEED = 42
@@ -275,36 +276,71 @@ def jaccard_prefix(n: int, near: Fraction = NEAR) -> int:
     return n + (-n * near.numerator) // near.denominator + 1 if n else 0
 
 
-def hot_shingles(rows: DataFrame, row: str, size: int) -> np.ndarray:
-    """Shingles that many texts hold, found in a part of ``rows``.  They only order elements: results do not depend on them."""
+class ShingleSets:
+    """Sets of word shingles as sorted hashes: each word is hashed once a worker, and shingles mix their words' hashes."""
+
+    def __init__(self, size: int):
+        self.size, self.words = size, Words(size, size)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The set of each text, its ASCII letters lower-cased; a text of fewer words is one shingle, an empty one none."""
+        docs = [t.lower().split() for t in texts]
+        lengths = np.array([len(d) for d in docs], np.int64)
+        ends = np.cumsum(lengths)
+        if not len(docs) or not ends[-1]:
+            return [np.empty(0, np.uint64) for _ in docs]
+        codes = self.words.codes(docs)
+        rolled = self.words.hashes(np.concatenate([codes, np.zeros(self.size, np.uint64)]), len(codes))
+        out = []
+        for start, n in zip((ends - lengths).tolist(), lengths.tolist()):
+            if n >= self.size:
+                out.append(np.unique(rolled[start : start + n - self.size + 1]))
+            elif n:  # fewer words: the whole sequence, told from longer ones by its length
+                out.append(np.array([xxhash.xxh3_64_intdigest(codes[start : start + n].tobytes(), n)], np.uint64))
+            else:
+                out.append(np.empty(0, np.uint64))
+        return out
+
+
+def hot_shingles(rows: DataFrame, row: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and their rank by how many.
+
+    Found in a part of ``rows``, for they only order the elements of sets: any
+    order gives the same pairs, and one that puts frequent shingles last gives
+    the fewest to compare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = ShingleSets(size)
         for batch in slices(batches, 1 << 20):
-            found = [np.unique(shingle_hashes(t, size)) for t in utf8(batch.column("text"))]
+            found = sets(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
 
     part = rows.where(F.col(row) % HOT_PART == 0).select("text").mapInArrow(run, "key long")
     counts = part.groupBy("key").count().where(F.col("count") >= HOT_COUNT)
-    top = counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toArrow().column(0).to_numpy()
-    return np.sort(top.view(np.uint64))
+    top = counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).toArrow()
+    keys, often = top.column("key").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], often[order].astype(np.int32)
 
 
-def with_sets(rows: DataFrame, keep: list[str], hot: np.ndarray, size: int) -> DataFrame:
-    """``rows`` with set_id, set_size and the prefix of the set of shingles: its hot ones come last in the order."""
+def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
+    """``rows`` with set_id, set_size and the prefix of the set of shingles: the hotter ones come later in the order."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def factory():
-        often = shared.value
+        (often, count), sets = shared.value, ShingleSets(size)
 
         def make(texts: pa.Array) -> list:
             ids, sizes, prefixes = [], [], []
-            for text in utf8(texts):
-                found = np.unique(shingle_hashes(text, size))
-                at = np.minimum(np.searchsorted(often, found), max(len(often) - 1, 0))
-                late = often[at] == found if len(often) else np.zeros(len(found), bool)
+            for found in sets(utf8(texts)):
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
-                prefixes.append(np.concatenate([found[~late], found[late]])[: jaccard_prefix(len(found))].view(np.int64))
+                if len(often) and len(found):
+                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+                    heat = np.where(often[at] == found, count[at], 0)
+                    found = found[np.argsort(heat, kind="stable")]
+                prefixes.append(found[: jaccard_prefix(len(found))].view(np.int64))
             return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int64), prefixes]
 
         return make
@@ -314,24 +350,29 @@ def with_sets(rows: DataFrame, keep: list[str], hot: np.ndarray, size: int) -> D
 
 
 def candidate_pairs(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a key of (key, comp, n, id) and may be near by their sizes.
+    """Pairs (a, b) of sets that share a key of (key, comp, n, at, id) and may be near by their sizes and its places.
 
-    Sets of one comp need no pair.  Without comps (null), groups of more than
-    ``GROUP`` give each set's pairs with the least and the next one only.
+    A pair's first shared element, at places i and j of sets of n and m, leaves
+    it 1 + min(n - i, m - j) - 1 elements to share, so a key that leaves fewer
+    than ``NEAR`` needs gives no pair.  Sets of one comp need no pair.  Without
+    comps (null), groups of more than ``GROUP`` give each set's pairs with the
+    least and the next one only.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     up, down = NEAR.numerator, NEAR.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 4
+        rest = [np.empty(0, np.int64)] * 5
 
-        def done(keys, comps, ns, ids) -> pa.RecordBatch:
+        def done(keys, comps, ns, ats, ids) -> pa.RecordBatch:
             starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]) if len(keys) else np.empty(0, np.int64)
             sizes = np.diff(np.append(starts, len(keys)))
             firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            left = ns - ats
 
             def take(i, j) -> None:
-                good = (ns[i] * down >= ns[j] * up) & ((comps[i] != comps[j]) | (comps[i] == 0))
+                reach = np.minimum(left[i], left[j]) * (up + down) >= up * (ns[i] + ns[j])
+                good = reach & (ns[i] * down >= ns[j] * up) & ((comps[i] != comps[j]) | (comps[i] == 0))
                 firsts.append(ids[i[good]])
                 seconds.append(ids[j[good]])
 
@@ -345,40 +386,56 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
                     take(np.full(size - 1, at), every[1:])
                     take(every[:-1], every[1:])
                 else:
-                    for k in range(size - 1):
-                        take(np.full(size - 1 - k, at + k), every[k + 1 :])
+                    # Sorted by size: those too large for a set end its partners.
+                    last = np.searchsorted(ns[every] * up, ns[every] * down, side="right")
+                    for k in np.flatnonzero(last > np.arange(size) + 1).tolist():
+                        take(np.full(int(last[k]) - 1 - k, at + k), every[k + 1 : int(last[k])])
             a, b = np.concatenate(firsts), np.concatenate(seconds)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "comp", "n", "id")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "comp", "n", "at", "id")]
             held = [np.concatenate(x) for x in zip(rest, new)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             rest = [x[cut:] for x in held]
             yield done(*[x[:cut] for x in held])
         yield done(*rest)
 
-    dealt = posts.select("key", "comp", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    dealt = posts.select("key", "comp", "n", "at", "id").repartition("key").sortWithinPartitions("key", "n", "id")
     return dealt.mapInArrow(run, schema).distinct()
 
 
-def near_pairs(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard similarity of at least ``NEAR``; ``texts`` (id, text)."""
+def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) with a Jaccard similarity of at least ``NEAR``; ``sets`` (id, members), sorted hashes."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            good = []
-            for x, y in zip(utf8(batch.column("text_a")), utf8(batch.column("text_b"))):
-                x, y = np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both * NEAR.denominator >= (len(x) + len(y) - both) * NEAR.numerator)
+            sides = [batch.column(c).flatten().to_numpy() for c in ("members_a", "members_b")]
+            ends = [np.cumsum(batch.column(c).value_lengths().to_numpy()) for c in ("members_a", "members_b")]
+            good, x0, y0 = [], 0, 0
+            for x1, y1 in zip(ends[0].tolist(), ends[1].tolist()):
+                both = np.concatenate([sides[0][x0:x1], sides[1][y0:y1]])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                good.append(same * NEAR.denominator >= (len(both) - same) * NEAR.numerator)
+                x0, y0 = x1, y1
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
 
-    sides = [texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    sides = [sets.select(F.col("id").alias(c), F.col("members").alias(f"members_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "members_a", "members_b").mapInArrow(run, schema)
+
+
+def with_members(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """``rows`` with members, the text's set as sorted hashes."""
+
+    def factory():
+        sets = ShingleSets(size)
+        return lambda texts: [[s.view(np.int64) for s in sets(utf8(texts))]]
+
+    return with_columns(rows, ["text"], [T.StructField("members", T.ArrayType(T.LongType()))], factory, keep)
 
 
 def near_copies(rows: DataFrame, row: str, size: int = STAGE_SHINGLE) -> DataFrame:
@@ -392,17 +449,19 @@ def near_copies(rows: DataFrame, row: str, size: int = STAGE_SHINGLE) -> DataFra
     classes = materialize(
         sets.groupBy("set_id").agg(F.min(row).alias("head"), F.first("set_size").alias("n"), F.first("prefix").alias("prefix")), "set-classes"
     )
-    posts = classes.select("n", F.col("set_id").alias("id"), F.explode("prefix").alias("key"))
+    posts = classes.select("n", F.col("set_id").alias("id"), F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
+    # A key that one set holds can't make a pair.
+    shared = posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    posts = materialize(posts.join(shared, "key"), "posts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "candidates")
         heads = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(classes.select("set_id", "head"), "set_id")
         texts = heads.join(rows, heads["head"] == rows[row]).select(F.col("set_id").alias("id"), "text")
-        return materialize(near_pairs(pairs, materialize(texts, "candidate-texts"), size), "near-pairs")
+        return materialize(near_pairs(pairs, with_members(texts, ["id"], size)), "near-pairs")
 
     found = verified(candidate_pairs(posts.withColumn("comp", F.lit(0).cast("long"))))
-    large = posts.groupBy("key").count().where(F.col("count") > GROUP).select("key")
-    left = materialize(posts.join(large, "key", "left_semi"), "large-groups")
+    left = posts.where(F.col("held") > GROUP)
     if left.limit(1).count():
         members = connected(found, "near").withColumnRenamed("node", "id")
         comp = F.coalesce("component", "id")
