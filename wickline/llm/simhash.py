@@ -50,7 +50,11 @@ NEAR = Fraction(4, 5)
 #: Sets of a key compared pair by pair at once.
 GROUP = 16
 #: Every so many rows are searched for hot shingles: those in so many of them, and so many shingles at most.
-HOT_PART, HOT_COUNT, HOT_KEYS = 8, 8, 500_000
+HOT_PART, HOT_COUNT, HOT_KEYS = 16, 4, 500_000
+#: Bins of the histogram that bounds what two sets share, and bits of a shingle that find candidates.
+BINS, KEY_BITS = 256, 48
+#: Dropped rows up to which their numbers are broadcast, so that texts stay where they are.
+MOST_DROPPED = 2_000_000
 
 _BYTE_BITS = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], np.int64)
 
@@ -325,30 +329,68 @@ def hot_shingles(rows: DataFrame, row: str, size: int) -> tuple[np.ndarray, np.n
 
 
 def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
-    """``rows`` with set_id, set_size and the prefix of the set of shingles: the hotter ones come later in the order."""
+    """``rows`` with set_id, set_size, the prefix of the set of shingles (the hotter ones later in the order) and bins.
+
+    bins counts the set's elements by their lowest bits, up to 255: two sets
+    share no more than the lesser counts add up to.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def factory():
         (often, count), sets = shared.value, ShingleSets(size)
 
         def make(texts: pa.Array) -> list:
-            ids, sizes, prefixes = [], [], []
+            ids, sizes, prefixes, bins = [], [], [], []
             for found in sets(utf8(texts)):
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                bins.append(np.minimum(np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 if len(often) and len(found):
                     at = np.minimum(np.searchsorted(often, found), len(often) - 1)
                     heat = np.where(often[at] == found, count[at], 0)
                     found = found[np.argsort(heat, kind="stable")]
-                prefixes.append(found[: jaccard_prefix(len(found))].view(np.int64))
-            return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int64), prefixes]
+                prefixes.append((found[: jaccard_prefix(len(found))] >> np.uint64(64 - KEY_BITS)).view(np.int64))
+            return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int32), prefixes, bins]
 
         return make
 
-    fields = [T.StructField("set_id", T.LongType()), T.StructField("set_size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [
+        T.StructField("set_id", T.LongType()),
+        T.StructField("set_size", T.IntegerType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("bins", T.BinaryType()),
+    ]
     return with_columns(rows, ["text"], fields, factory, keep)
 
 
+POSTS = "key long, id long, n int, at int, held int"
+
+
+def shared_posts(posts: DataFrame) -> DataFrame:
+    """``posts`` (key, id, n, at) without the keys that one set holds, which can't make a pair; held counts a key's sets."""
+    names = ["key", "id", "n", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * 4
+
+        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
+            keys = columns[0]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]) if len(keys) else np.empty(0, np.int64)
+            sizes = np.diff(np.append(starts, len(keys)))
+            held = np.repeat(sizes, sizes)
+            out = [c[held > 1] for c in (*columns, held)]
+            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), *[pa.array(c.astype(np.int32)) for c in out[2:]]], names=[*names, "held"])
+
+        for batch in batches:
+            now = [np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, names)]
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            rest = [x[cut:] for x in now]
+            yield done([x[:cut] for x in now])
+        yield done(rest)
+
+    return posts.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, POSTS)
+
+
 def candidate_pairs(posts: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that share a key of (key, comp, n, at, id) and may be near by their sizes and its places.
 
@@ -406,9 +448,32 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema).distinct()
 
 
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def near_by_size(same, total) -> bool:
+    """Whether sets of ``total`` elements together that share ``same`` have a Jaccard similarity of at least ``NEAR``."""
+    return same * NEAR.denominator >= (total - same) * NEAR.numerator
+
+
+def possible_pairs(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) without those whose bins show that they are not near; ``heads`` (head, n, bins)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bins = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins_a", "bins_b")]
+            most = np.minimum(*bins).astype(np.int64).sum(axis=1)
+            full = (bins[0] == 255).any(axis=1) | (bins[1] == 255).any(axis=1)
+            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            good = pa.array(full | near_by_size(most, total))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
+
+    sides = [heads.select(F.col("head").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(run, PAIRS)
+
+
 def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) with a Jaccard similarity of at least ``NEAR``; ``sets`` (id, members), sorted hashes."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -418,14 +483,13 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x1, y1 in zip(ends[0].tolist(), ends[1].tolist()):
                 both = np.concatenate([sides[0][x0:x1], sides[1][y0:y1]])
                 both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(same * NEAR.denominator >= (len(both) - same) * NEAR.numerator)
+                good.append(bool(near_by_size(int((both[1:] == both[:-1]).sum()), len(both))))
                 x0, y0 = x1, y1
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
 
     sides = [sets.select(F.col("id").alias(c), F.col("members").alias(f"members_{c}")) for c in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "members_a", "members_b").mapInArrow(run, schema)
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "members_a", "members_b").mapInArrow(run, PAIRS)
 
 
 def with_members(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
@@ -438,46 +502,49 @@ def with_members(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
     return with_columns(rows, ["text"], [T.StructField("members", T.ArrayType(T.LongType()))], factory, keep)
 
 
-def near_copies(rows: DataFrame, row: str, size: int = STAGE_SHINGLE) -> DataFrame:
-    """(row, set_id, component): components of the texts whose shingle sets are near; ``rows`` (row, text).
+def near_copies(rows: DataFrame, row: str, id_col: str = "doc_id", size: int = STAGE_SHINGLE) -> DataFrame:
+    """(component, first): the groups of texts whose shingle sets are near; first is the row number of a group's first.
 
-    Every pair at ``NEAR`` shares an element of both prefixes, so no link is
-    missed.  Large groups are linked by stars first; then only their pairs
-    across components are left to compare.
+    ``rows`` has row (numbers from 1), ``id_col`` and text.  Every pair at
+    ``NEAR`` shares an element of both prefixes, so no link is missed.  Large
+    groups are linked by stars first; then only their pairs across components
+    are left to compare.  The first row has the least id, null last.
     """
-    sets = materialize(with_sets(rows, [row], hot_shingles(rows, row, size), size), "sets")
-    classes = materialize(
-        sets.groupBy("set_id").agg(F.min(row).alias("head"), F.first("set_size").alias("n"), F.first("prefix").alias("prefix")), "set-classes"
-    )
-    posts = classes.select("n", F.col("set_id").alias("id"), F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
-    # A key that one set holds can't make a pair.
-    shared = posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    posts = materialize(posts.join(shared, "key"), "posts")
+    named = rows.select(row, F.col(id_col).alias("id"), "text")
+    sets = materialize(with_sets(named, [row, "id"], hot_shingles(named, row, size), size), "sets")
+    by_set = sets.groupBy("set_id")
+    order = F.struct(F.col("id").isNull().alias("null"), "id", "set_id", F.col(row).alias("row"))
+    heads = by_set.agg(F.min(row).alias("head"), F.min(order).alias("best"), F.first("set_size").alias("n"), F.first("bins").alias("bins"))
+    heads = materialize(heads, "set-heads")
+    prefixes = by_set.agg(F.min(row).alias("id"), F.first("set_size").alias("n"), F.first("prefix").alias("prefix"))
+    posts = materialize(shared_posts(prefixes.select("n", "id", F.posexplode("prefix").alias("at", "key"))), "posts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "candidates")
-        heads = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(classes.select("set_id", "head"), "set_id")
-        texts = heads.join(rows, heads["head"] == rows[row]).select(F.col("set_id").alias("id"), "text")
+        pairs = materialize(possible_pairs(pairs, heads), "candidates")
+        wanted = pairs.select(F.col("a").alias(row)).union(pairs.select("b")).distinct()
+        texts = rows.select(row, "text").join(wanted, row, "left_semi").withColumnRenamed(row, "id")
         return materialize(near_pairs(pairs, with_members(texts, ["id"], size)), "near-pairs")
 
     found = verified(candidate_pairs(posts.withColumn("comp", F.lit(0).cast("long"))))
     left = posts.where(F.col("held") > GROUP)
     if left.limit(1).count():
         members = connected(found, "near").withColumnRenamed("node", "id")
-        comp = F.coalesce("component", "id")
-        # A comp of 0 would read as none.
-        comps = left.join(members, "id", "left").withColumn("comp", F.when(comp == 0, 1).otherwise(comp))
-        found = found.union(verified(candidate_pairs(comps))).distinct()
-    members = connected(found, "near").withColumnRenamed("node", "set_id")
-    return sets.select(row, "set_id").join(members, "set_id", "left").select(row, "set_id", F.coalesce("component", "set_id").alias("component"))
+        found = found.union(verified(candidate_pairs(left.join(members, "id", "left").withColumn("comp", F.coalesce("component", "id"))))).distinct()
+    members = connected(found, "near").withColumnRenamed("node", "head")
+    named = heads.select("head", "best").join(members, "head", "left")
+    return named.groupBy(F.coalesce("component", "head").alias("component")).agg(F.min("best").alias("best")).select("component", F.col("best.row").alias("first"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the least doc_id of each group of texts at 5-word Jaccard ``NEAR`` or more; null ids come last."""
+    """Keep the row with the least doc_id of each group of texts at 5-word Jaccard ``NEAR`` or more; null ids come last.
+
+    Rows are told apart by a number of their own, so rows that share a doc_id
+    or have none are documents like others.
+    """
     row = hidden(docs, "_row")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    of_row = near_copies(rows.select(row, "text"), row).select(row, "component")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row))
-    named = rows.select(row, order.alias("order")).join(of_row, row)
-    kept = named.groupBy("component").agg(F.min("order").alias("order")).select(F.col(f"order.{row}").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id() + 1), "numbered")
+    kept = materialize(near_copies(rows, row).select(F.col("first").alias(row)), "kept")
+    dropped = materialize(rows.select(row).join(kept, row, "left_anti"), "dropped")
+    few = dropped.count() <= MOST_DROPPED
+    out = rows.join(F.broadcast(dropped), row, "left_anti") if few else rows.join(kept, row, "left_semi")
+    return out.select(*[f"`{c}`" for c in docs.columns])
