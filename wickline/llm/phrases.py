@@ -1,23 +1,24 @@
 """Repeated phrases, removed after their first occurrence, by Aho-Corasick automata.
 
-``repeats`` deals the candidate passages out to shards by anchor.  In a shard,
-passages that recur are confirmed by their words: a passage that several
-documents hold whole is one phrase, and of passages that differ beyond a
-common window each recurring window is one.  The phrases of the shard are
-compiled into one automaton over word numbers, and all passages of the shard,
-which hold every window of any document that can recur there, are streamed
-through it to locate every occurrence.
+``repeats`` deals the candidate passages out by anchor and confirms by their
+words which windows of a passage recur; a run of such windows is a phrase.
+Each document bucket gets the phrases that its documents hold, as places in
+them, with where each occurs first in the table.  They are compiled into
+automata over word numbers, sharded by bucket and below a bound of words, and
+all documents of the bucket are streamed through them to locate every
+occurrence; those after the first one are removed.
 
 Defined cases: null has no words; texts of fewer words than the window lose
 nothing; a null doc_id comes before all others; rows that share a doc_id and
-a text are one document, other rows that share a doc_id follow each other by
-place of the window.
+a text are one document, other rows that share a doc_id, or have none, follow
+each other by place of the window; very long texts are streamed whole; an
+empty table gives no rows; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,41 +26,94 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import repeats
 from .common import table
+from .repeats import RANGE
 
 WINDOW = 20
 ANCHOR = 8
 
 
-def identify(contexts: list[bytes], groups: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Window numbers of the contexts by automaton, negative for windows that don't recur."""
-    numbers: dict[bytes, int] = {}
-    passages = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in c.split(b" ")]) for c in contexts]
-    phrases: dict[tuple, int] = {}
+#: Words of phrases that one automaton holds.
+SHARD_WORDS = 400_000
+
+
+def confirm(contexts: list[bytes], groups: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A number for each window of the contexts that recurs, by its words, and -1 for the others.
+
+    The windows of one context differ from each other, as each has the anchor
+    at a place of its own.
+    """
+    out = np.full(int(n.sum()), -1, np.int64)
+    ends = np.cumsum(n)
     begins = repeats.runs_of(groups)
+    given = 0
     for a, b in zip(begins.tolist(), np.append(begins[1:], len(groups)).tolist()):
-        if b - a == 1:  # alone on its anchor: all its rows hold it whole
-            phrases.setdefault(passages[a], len(phrases))
+        if b - a == 1:
+            if weights[a] > 1:
+                out[ends[a] - n[a] : ends[a]] = np.arange(given, given + n[a])
+                given += int(n[a])
             continue
-        windows = Counter(p[i : i + WINDOW] for p in passages[a:b] for i in range(len(p) - WINDOW + 1))
-        for window, count in windows.items():
-            if count > 1:
-                phrases.setdefault(window, len(phrases))
-    out = np.full(int(n.sum()), -1, np.int64)
-    if not phrases:
-        return out
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase, number in phrases.items():
-        automaton.add_word(phrase, number << 16 | min(len(phrase), 0xFFFF))
-    automaton.make_automaton()
-    at = 0
-    for passage, windows in zip(passages, n.tolist()):
-        for last, value in automaton.iter(passage):
-            if value & 0xFFFF == WINDOW:
-                out[at + last - WINDOW + 1] = value >> 16
-        at += windows
+        counts: dict[tuple, int] = {}
+        passages = [c.split(b" ") for c in contexts[a:b]]
+        windows = [[tuple(p[i : i + WINDOW]) for i in range(len(p) - WINDOW + 1)] for p in passages]
+        for part, weight in zip(windows, weights[a:b].tolist()):
+            for w in part:
+                counts[w] = counts.get(w, 0) + weight
+        numbers = {w: given + k for k, w in enumerate(w for w, c in counts.items() if c > 1)}
+        given += len(numbers)
+        out[ends[a] - n[a] : ends[b - 1]] = [numbers.get(w, -1) for part in windows for w in part]
     return out
 
 
+def automata(phrases: list[tuple[int, ...]]) -> Iterator:
+    """Automata of the phrases, each below ``SHARD_WORDS`` words or of one phrase; values are the phrases' numbers."""
+    held, words = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), 0
+    for k, phrase in enumerate(phrases):
+        if words and words + len(phrase) > SHARD_WORDS:
+            held.make_automaton()
+            yield held
+            held, words = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), 0
+        held.add_word(phrase, k)
+        words += len(phrase)
+    if words:
+        held.make_automaton()
+        yield held
+
+
+def locate(members: np.ndarray, runs: np.ndarray, texts: dict[int, list[bytes]], units, by_place: bool) -> np.ndarray:
+    """The ranges of the bucket's documents that hold a phrase after its first occurrence."""
+    head = members[np.argsort(members["rep"], kind="stable")]
+    head = head[np.searchsorted(head["rep"], runs["rep"])]
+    order = np.lexsort((head["first"], head["nth"], head["doc"]))
+    numbers: dict[bytes, int] = {}
+    number = numbers.setdefault
+    known: dict[tuple[int, ...], int] = {}
+    chosen: list[int] = []
+    here, words = None, []
+    for i, doc, nth, first, off, n in zip(order.tolist(), *[x[order].tolist() for x in (head["doc"], head["nth"], head["first"], runs["off"], runs["n"])]):
+        if here != (doc, nth):
+            here, words = (doc, nth), texts[doc][nth].split()
+        start = first + off
+        phrase = tuple([number(w, len(numbers) + 1) for w in words[start : start + n + WINDOW - 1]])
+        if known.setdefault(phrase, len(chosen)) == len(chosen):
+            chosen.append(i)
+    least, place = runs["least"][chosen], runs["place"][chosen]
+    lengths = np.array([len(p) for p in known], np.int64)
+    get = numbers.get
+    streams = [(doc, nth, tuple([get(w, 0) for w in raw.split()])) for doc, held in texts.items() for nth, raw in enumerate(held)]
+    out = [np.empty(0, RANGE)]
+    for automaton in automata(list(known)):
+        for doc, nth, words in streams:
+            matches = list(automaton.iter(words)) if len(words) >= WINDOW else []
+            if matches:
+                last, which = np.array(matches, np.int64).T
+                start = last + 1 - lengths[which]
+                late = repeats.later(np.full(len(which), doc), start, least[which], place[which], by_place)
+                rows = np.empty(int(late.sum()), RANGE)
+                rows["doc"], rows["nth"], rows["start"], rows["end"] = doc, nth, start[late], last[late] + 1
+                out.append(rows)
+    return np.concatenate(out)
+
+
 def _parts(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     words, kept, done = raw.split(), [], 0
     for a, b in zip(starts.tolist(), ends.tolist()):
@@ -84,7 +138,7 @@ DIGEST = "n_words long, n_removed long, kept_sha256 string"
 def repeated_phrases(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id with counts, and if asked spans (flat starts and ends, in words) and kept, the words left."""
     schema, finish = (f"{DIGEST}, spans array<int>, kept string", _spans) if texts else (DIGEST, _digest)
-    return repeats.find(docs, repeats.Words(WINDOW, ANCHOR), identify, True, True, schema, finish)
+    return repeats.find(docs, repeats.Words(WINDOW, ANCHOR), confirm, True, schema, finish, locate)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

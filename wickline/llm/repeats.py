@@ -13,16 +13,20 @@ share theirs, so a fraction of the positions stands for all of them exactly.
    pack them by document bucket.
 3. ``_contexts``: document buckets meet their documents and send, for each
    shared anchor, the units of its windows, packed by key bucket.  Equal
-   contexts of a document bucket send one row, the earliest, which settles
-   the others.
-4. ``_resolve``: key buckets tell by exact content which windows occur
-   earlier; the method that names the operator works here.
+   contexts of a document bucket are packed as one row with their number,
+   and its members stay with the document bucket.
+4. ``_resolve``: in key buckets the operator's method tells by exact content
+   which windows recur; each row gets back its runs of such windows and where
+   they begin first.  What the method does not find is not removed.
 5. ``_removed``: document buckets meet their documents again, over the same
-   exchange, and unite the ranges.
-
-All that is shuffled are packed anchors, contexts of shared anchors, ranges
-and the documents once.  Buckets follow the size of the table, so that one
-fits in a task's memory; no stage collects a whole group of copies.
+   exchange; the operator locates the runs' occurrences in them, and those
+   after the first are removed.
+
+All that is shuffled are packed anchors, contexts of shared anchors, runs and
+the documents once.  Buckets follow the size of the table, so that one fits in
+a task's memory; no stage collects a whole group of copies.  Documents without
+an id get numbers below all ids, from a hash of their text, and so spread over
+the buckets; they compare as one id all the same.
 """
 
 from __future__ import annotations
@@ -44,7 +48,10 @@ CHUNK_UNITS = 1 << 20
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 BUCKETS_A_PARTITION = 2
-NULL_ID = -(1 << 63)
+#: Numbers of documents without an id begin here and end before the second.
+NULL_ID, LEAST_ID = -(1 << 63), -(1 << 63) + (1 << 48)
+#: Bytes of contexts that the method gets at once, whole anchors at a time.
+METHOD_BYTES = 1 << 20
 
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -173,9 +180,20 @@ def anchors(units, docs: list) -> Anchors:
 
 #: Columns of an occurrence: anchor key, document, first window, the anchor's place after it, windows.
 OCC = np.dtype([("key", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("back", "u1"), ("n", "u1")])
-#: Of a context and a removed range; ``nth`` numbers the different texts that rows with one doc_id have.
-CTX = np.dtype([("doc", "<i8"), ("nth", "<u2"), ("first", "<i4"), ("back", "u1"), ("n", "u1")])
-RANGE = np.dtype([("doc", "<i8"), ("nth", "<u2"), ("start", "<i4"), ("end", "<i4")])
+#: Of a context: rep numbers its document bucket's contexts, many counts those equal to it there.
+CTX = np.dtype([("doc", "<i8"), ("first", "<i4"), ("back", "u1"), ("n", "u1"), ("rep", "<u4"), ("many", "<u4")])
+#: Of a context's member; ``nth`` numbers the different texts that rows with one doc_id have.
+MEM = np.dtype([("doc", "<i8"), ("nth", "<u4"), ("first", "<i4"), ("rep", "<u4")])
+#: Of a run of a context's windows that recur, from offset off on, and the document and place of the first occurrence.
+RUN = np.dtype([("rep", "<u4"), ("off", "u1"), ("n", "u1"), ("least", "<i8"), ("place", "<i4")])
+RANGE = np.dtype([("doc", "<i8"), ("nth", "<u4"), ("start", "<i4"), ("end", "<i4")])
+#: Columns packed as differences.
+STEPS = ("doc", "first", "rep", "least", "place")
+
+
+def by_id(doc: np.ndarray) -> np.ndarray:
+    """Documents' numbers as they compare: those without an id are alike."""
+    return np.where(doc < LEAST_ID, NULL_ID, doc)
 
 
 #: Bytes of a key that are kept.  Keys only choose what is compared, so a chance collision costs a comparison.
@@ -195,8 +213,8 @@ def pack(rows: np.ndarray) -> bytes:
     parts = []
     for c in rows.dtype.names:
         values = np.ascontiguousarray(rows[c])
-        if c == "doc":
-            values = np.diff(values, prepend=np.int64(0))
+        if c in STEPS and len(values):
+            values = np.concatenate([values[:1], values[1:] - values[:-1]])
         parts.append(values.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() if c == "key" else values.tobytes())
     return squeezed(b"".join(parts))
 
@@ -214,8 +232,9 @@ def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
         else:
             out[c] = np.frombuffer(data, dtype[c], n, at)
             at += n * dtype[c].itemsize
-    if "doc" in dtype.names:
-        out["doc"] = np.cumsum(out["doc"])
+    for c in dtype.names:
+        if c in STEPS:
+            out[c] = np.cumsum(out[c], dtype=dtype[c])
     return out
 
 
@@ -290,7 +309,7 @@ def _anchors(docs: DataFrame, units, n_buckets: int, across: bool) -> DataFrame:
                 found.append(rows)
 
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                held.append((NULL_ID if doc is None else doc, units.split(raw or b"")))
+                held.append((doc, units.split(raw or b"")))
                 size += len(held[-1][1])
                 if size >= CHUNK_UNITS:
                     flush(held)
@@ -326,14 +345,11 @@ def _shared(packed: DataFrame, n_docs: int, across: bool) -> DataFrame:
 
 
 def _docs_of(group: pa.Table) -> dict[int, list[bytes]]:
-    """The different texts of each doc_id, in order; both visits of a bucket number them alike."""
-    out: dict[int, list[bytes]] = {}
+    """The different texts of each document number, in order; both visits of a bucket number them alike."""
+    out: dict[int, set[bytes]] = {}
     for doc, raw in zip(group.column("doc_id").to_pylist(), group.column("text").cast(pa.binary()).to_pylist()):
-        held, raw = out.setdefault(NULL_ID if doc is None else doc, []), raw or b""
-        if raw not in held:
-            held.append(raw)
-            held.sort()
-    return out
+        out.setdefault(doc, set()).add(raw or b"")
+    return {doc: sorted(held) for doc, held in out.items()}
 
 
 CONTEXTS = "bucket int, kind int, blob binary, texts binary"
@@ -352,21 +368,25 @@ def unpack_texts(blob: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([at, *ends], ends)]
 
 
-def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, by_place: bool) -> DataFrame:
+#: Kinds of packed rows on the way back: runs, and members, which pass through the key buckets unread.
+RUNS, MEMBERS = 0, 1
+
+
+def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, heads_only: bool) -> DataFrame:
+    """``heads_only``: of equal contexts only the first is a member, for methods that find the others by themselves."""
     tail = units.window - 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = unpack_all(right.column("blob").to_pylist(), OCC)
         # By earliness; a place that repeated rows of a document give twice counts once.
-        rows = rows[np.lexsort((rows["key"], rows["first"], rows["doc"]))]
+        rows = rows[np.lexsort((rows["key"], rows["first"], rows["doc"], by_id(rows["doc"])))]
         same = np.ones(max(len(rows) - 1, 0), bool)
         for c in OCC.names:
             same &= rows[c][1:] == rows[c][:-1]
         rows = rows[np.concatenate([[True], ~same])] if len(rows) else rows
         texts = _docs_of(left) if len(rows) else {}
-        # The earliest holder of each context goes on and settles those after it.
-        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
-        sent, groups, contexts, settled = [], [], [], []
+        numbers: dict[tuple[int, bytes], int] = {}
+        sent, groups, contexts, many, members = [], [], [], [], []
         here, parts = None, []
         for key, doc, first, back, n in rows.tolist():
             if here != doc:
@@ -377,25 +397,29 @@ def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, by_plac
                 if end > len(part):
                     continue
                 context = units.part(part, first, end)
-                holder = seen.setdefault((key, context), (doc, first))
-                if holder[0] < doc or by_place and holder[1] < first:
-                    settled.append((doc, nth, first, end))
-                else:  # the first, or as early as the first
-                    sent.append((doc, nth, first, back, n))
+                rep = numbers.setdefault((key, context), len(sent))
+                if rep == len(sent):
+                    sent.append((doc, first, back, n, rep, 0))
                     groups.append(key % n_buckets)
                     contexts.append(context)
+                    many.append(1)
+                    members.append((doc, nth, first, rep))
+                else:
+                    many[rep] += 1
+                    if not heads_only:
+                        members.append((doc, nth, first, rep))
         out = []
         if sent:
             chosen, group = np.array(sent, CTX), np.array(groups)
+            chosen["many"] = many
             order = np.argsort(group, kind="stable")
             cuts = np.flatnonzero(np.diff(group[order])) + 1
             for part in np.split(order, cuts):
-                out.append((int(group[part[0]]), 0, pack(chosen[part]), pack_texts([contexts[k] for k in part])))
-        if settled:
-            ranges = np.array(settled, RANGE)
-            out += [(b, 1, pack(p), None) for b, p in split_by(ranges, doc_bucket(ranges["doc"], n_buckets))]
+                out.append((int(group[part[0]]), RUNS, pack(chosen[part]), pack_texts([contexts[k] for k in part])))
+            held = np.array(members, MEM)
+            out.append((int(doc_bucket(held["doc"][:1], n_buckets)[0]), MEMBERS, pack(held), None))
         columns = list(zip(*out)) or [[], [], [], []]
-        del sent, contexts, seen, texts
+        del sent, contexts, numbers, texts, members
         give_back()
         return pa.table(
             {
@@ -409,104 +433,133 @@ def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, by_plac
     return docs.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(run, CONTEXTS)
 
 
-#: (contexts of classes, their groups' numbers, windows of each) -> one number a window, equal for equal windows of a group,
-#: negative where a window has no equal in another class.
-Identify = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+#: (contexts, their groups' numbers, windows of each, how many equal contexts each stands for) -> one number a window, equal
+#: for equal windows of a group, negative where a window does not recur.
+Identify = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _resolve(contexts: DataFrame, units, n_docs: int, by_place: bool, identify: Identify, alone: bool) -> DataFrame:
+def _resolve(contexts: DataFrame, units, n_docs: int, by_place: bool, identify: Identify) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         kinds, blobs = np.array(group.column("kind")), group.column("blob").to_pylist()
-        ranges = [unpack_all((b for b, k in zip(blobs, kinds) if k), RANGE)]
-        rows = unpack_all((b for b, k in zip(blobs, kinds) if not k), CTX)
-        texts = [t for blob, k in zip(group.column("texts").to_pylist(), kinds) if not k for t in unpack_texts(blob)]
-        ranges += later_windows(rows, texts, units, by_place, identify, alone)
-        found = np.concatenate(ranges)
-        found = found[np.lexsort((found["start"], found["nth"], found["doc"]))]
-        del rows, texts, ranges
+        out = [(int(b), MEMBERS, blob) for b, k, blob in zip(group.column("bucket").to_pylist(), kinds, blobs) if k == MEMBERS]
+        rows = unpack_all((b for b, k in zip(blobs, kinds) if k == RUNS), CTX)
+        texts = [t for blob, k in zip(group.column("texts").to_pylist(), kinds) if k == RUNS for t in unpack_texts(blob)]
+        found, holder = recurring(rows, texts, units, by_place, identify)
+        order = np.lexsort((found["off"], found["rep"]))
+        found, holder = found[order], holder[order]
+        out += [(b, RUNS, pack(p)) for b, p in split_by(found, doc_bucket(holder, n_docs))]
+        del rows, texts
         give_back()
-        return _batch([(b, 0, pack(p)) for b, p in split_by(found, doc_bucket(found["doc"], n_docs))])
+        return _batch(out)
 
     return contexts.groupBy("bucket").applyInArrow(run, SCHEMA)
 
 
-def _ranges(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), RANGE)
-    out["doc"], out["nth"], out["start"], out["end"] = rows["doc"], rows["nth"], starts, ends
-    return out
-
-
-def later_windows(rows: np.ndarray, texts: list[bytes], units, by_place: bool, identify: Identify, alone: bool) -> list[np.ndarray]:
-    """Ranges of the windows of ``rows`` that an earlier row holds too, by exact content.
+def recurring(rows: np.ndarray, texts: list[bytes], units, by_place: bool, identify: Identify) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of windows of ``rows`` that the method finds to recur, and the documents they are for.
 
-    Rows with an equal context and anchor form a class.  What is later than
-    its class's earliest row is removed whole; the earliest rows' windows are
-    compared with those of the other classes of the same anchor.  ``alone``:
-    ``identify`` also gets classes of several rows without another class.
+    Rows with an equal context and anchor form a class and are one context to
+    the method, which stands for all of them.
     """
+    nothing = np.empty(0, RUN), np.empty(0, np.int64)
     if not len(rows):
-        return []
-    tail = units.window - 1
-    order = np.lexsort((rows["first"], rows["doc"]))
+        return nothing
+    order = np.lexsort((rows["first"], by_id(rows["doc"])))
     numbers: dict[tuple[int, bytes], int] = {}
-    keys = rows["back"].tolist()
+    backs = rows["back"].tolist()
     of_row = np.empty(len(rows), np.int64)
     least: list[int] = []
     for i in order.tolist():  # earliest first
-        c = numbers.setdefault((keys[i], texts[i]), len(least))
+        c = numbers.setdefault((backs[i], texts[i]), len(least))
         if c == len(least):
             least.append(i)
         of_row[i] = c
-    least_of = np.array(least)[of_row]
-    whole = rows["doc"] > rows["doc"][least_of]
-    if by_place:
-        whole |= (rows["doc"] == rows["doc"][least_of]) & (rows["first"] > rows["first"][least_of])
-    gone = rows[whole]
-    out = [_ranges(gone, gone["first"], gone["first"] + gone["n"].astype(np.int32) + tail)]
-
-    heads = rows[least]
+    del numbers
+    weight = np.bincount(of_row, rows["many"], len(least)).astype(np.int64)
     anchors_seen: dict[bytes, int] = {}
-    anchor = np.array([anchors_seen.setdefault(units.anchor_of(texts[i], keys[i]), len(anchors_seen)) for i in least])
+    anchor = np.array([anchors_seen.setdefault(units.anchor_of(texts[i], backs[i]), len(anchors_seen)) for i in least])
     by_key = np.argsort(anchor, kind="stable")
     starts = runs_of(anchor[by_key])
     sizes = np.diff(np.append(starts, len(by_key)))
-    members = np.bincount(of_row, minlength=len(least))
-    # Classes alone on their anchor share no window with others; the passage of a class of several rows is whole.
-    several = np.repeat(sizes > 1, sizes) | (alone & (members[by_key] > 1))
+    # A class of one row that is alone on its anchor can't recur.
+    several = np.repeat(sizes > 1, sizes) | (weight[by_key] > 1)
     chosen = by_key[several]
     if not len(chosen):
-        return out
+        return nothing
     groups = np.repeat(np.arange(len(starts)), sizes)[several]
-    n = heads["n"][chosen].astype(np.int64)
-    ids = identify([texts[least[c]] for c in chosen.tolist()], groups, n)
+    heads = rows[np.array(least)[chosen]]
+    n = heads["n"].astype(np.int64)
+    # Whole anchors at a time, as windows are equal only within one.
+    lengths = np.cumsum([len(texts[least[c]]) for c in chosen.tolist()])
+    begins = runs_of(groups)
+    part = (lengths[begins] - 1) // METHOD_BYTES
+    cuts = begins[np.flatnonzero(np.diff(part, prepend=-1))].tolist()
+    ids, base = [], 0
+    for a, b in zip(cuts, [*cuts[1:], len(chosen)]):
+        some = identify([texts[least[c]] for c in chosen[a:b].tolist()], groups[a:b], n[a:b], weight[chosen[a:b]])
+        ids.append(np.where(some >= 0, some + base, -1))
+        base += int(some.max(initial=0)) + 1
+    ids = np.concatenate(ids)
     cls = np.repeat(np.arange(len(chosen)), n)
     offset = np.arange(len(cls)) - np.repeat(np.cumsum(n) - n, n)
     at = np.flatnonzero(ids >= 0)
+    if not len(at):
+        return nothing
     ids, cls, offset = ids[at], cls[at], offset[at]
-    doc = heads["doc"][chosen][cls]
-    place = heads["first"][chosen][cls] + offset
-    order = np.lexsort((place, doc, ids))
+    doc, place = heads["doc"][cls], heads["first"][cls] + offset
+    order = np.lexsort((place, by_id(doc), ids))
     runs = runs_of(ids[order])
-    first = np.repeat(order[runs], np.diff(np.append(runs, len(order))))
-    earliest = np.empty(len(order), np.int64)
-    earliest[order] = first
-    late = (doc > doc[earliest]) | (by_place & (doc == doc[earliest]) & (place > place[earliest]))
-    # Rows of the class that are as early as its least one get the same windows.
-    twins = np.flatnonzero(~whole)
-    by_class: dict[int, list[int]] = {}
-    for i in twins.tolist():
-        by_class.setdefault(int(of_row[i]), []).append(i)
-    cls, offset = cls[late], offset[late]
-    if not len(cls):
-        return out
-    begins = np.flatnonzero(np.diff(cls, prepend=-1) | (np.diff(offset, prepend=-2) != 1))
-    lasts = np.append(begins[1:], len(cls)) - 1
-    spans = [
-        (rows["doc"][i], rows["nth"][i], rows["first"][i] + offset[b], rows["first"][i] + offset[e] + 1 + tail)
-        for b, e in zip(begins.tolist(), lasts.tolist())
-        for i in by_class[int(chosen[cls[b]])]
-    ]
-    return [*out, np.array(spans, RANGE)]
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[runs], np.diff(np.append(runs, len(order))))
+    least_doc, least_place = doc[first], place[first]
+    new = (np.diff(cls, prepend=-1) != 0) | (np.diff(offset, prepend=-2) != 1) | (np.diff(least_doc, prepend=least_doc[:1]) != 0)
+    if by_place:
+        new |= np.diff(least_place, prepend=least_place[:1]) != 1
+    begins = np.flatnonzero(new)
+    spans = np.empty(len(begins), RUN)
+    spans["off"], spans["n"] = offset[begins], np.diff(np.append(begins, len(cls)))
+    spans["least"], spans["place"] = least_doc[begins], least_place[begins] if by_place else 0
+    # To each row of a run's class.
+    rank = np.full(len(least), -1)
+    rank[chosen] = np.arange(len(chosen))
+    mine = np.flatnonzero(rank[of_row] >= 0)
+    at_class = rank[of_row[mine]]
+    low, high = np.searchsorted(cls[begins], at_class), np.searchsorted(cls[begins], at_class, side="right")
+    row = np.repeat(mine, high - low)
+    which = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    out = spans[which]
+    out["rep"] = rows["rep"][row]
+    # A context that its bucket holds once, and first of all, loses nothing there.
+    doc = rows["doc"][row]
+    keep = (rows["many"][row] > 1) | (by_id(doc) != by_id(out["least"]))
+    if by_place:
+        keep |= rows["first"][row] + out["off"] != out["place"]
+    return out[keep], doc[keep]
+
+
+def later(doc, place, least, least_place, by_place: bool):
+    """Whether windows at ``place`` of ``doc`` come after those at ``least_place`` of ``least``."""
+    doc, least = by_id(doc), by_id(least)
+    return (doc > least) | (by_place & (doc == least) & (place > least_place))
+
+
+def by_members(members: np.ndarray, runs: np.ndarray, texts: dict, units, by_place: bool) -> np.ndarray:
+    """The ranges to remove where a run's occurrences are those of its context's members."""
+    members = members[np.argsort(members["rep"], kind="stable")]
+    low, high = np.searchsorted(members["rep"], runs["rep"]), np.searchsorted(members["rep"], runs["rep"], side="right")
+    run = np.repeat(np.arange(len(runs)), high - low)
+    which = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    found, of_run = members[which], runs[run]
+    place = found["first"] + of_run["off"].astype(np.int32)
+    late = later(found["doc"], place, of_run["least"], of_run["place"], by_place)
+    out = np.empty(int(late.sum()), RANGE)
+    out["doc"], out["nth"], out["start"] = found["doc"][late], found["nth"][late], place[late]
+    out["end"] = out["start"] + of_run["n"][late].astype(np.int32) + units.window - 1
+    return out
+
+
+#: (members, runs, texts of the bucket, units, by_place) -> the ranges to remove.
+Locate = Callable[[np.ndarray, np.ndarray, dict, object, bool], np.ndarray]
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -517,7 +570,7 @@ def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], reach[np.append(new[1:], len(starts)) - 1] if len(starts) else reach
 
 
-def _removed(docs: DataFrame, ranges: DataFrame, schema: str, finish: Callable) -> DataFrame:
+def _removed(docs: DataFrame, back: DataFrame, units, by_place: bool, locate: Locate, schema: str, finish: Callable) -> DataFrame:
     """``finish``(raw text, removed starts, ends) gives the values of ``schema`` after doc_id."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -525,36 +578,49 @@ def _removed(docs: DataFrame, ranges: DataFrame, schema: str, finish: Callable)
     target = to_arrow_schema(StructType.fromDDL(f"doc_id long, {schema}"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = unpack_all(right.column("blob").to_pylist(), RANGE)
+        kinds, blobs = right.column("kind").to_pylist(), right.column("blob").to_pylist()
+        runs = unpack_all((b for b, k in zip(blobs, kinds) if k == RUNS), RUN)
+        texts = _docs_of(left)
+        found = np.empty(0, RANGE)
+        if len(runs):
+            members = unpack_all((b for b, k in zip(blobs, kinds) if k == MEMBERS), MEM)
+            found = locate(members, runs, texts, units, by_place)
+            del members
         found = found[np.lexsort((found["nth"], found["doc"]))]
         cuts = np.flatnonzero((np.diff(found["doc"]) != 0) | (np.diff(found["nth"].astype(np.int64)) != 0)) + 1 if len(found) else []
         spans = {(int(p["doc"][0]), int(p["nth"][0])): p for p in np.split(found, cuts)} if len(found) else {}
         rows, none = [], np.empty(0, np.int64)
-        texts = _docs_of(left)
+        nths = {doc: {raw: k for k, raw in enumerate(held)} for doc, held in texts.items()}
         for doc, raw in zip(left.column("doc_id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist()):
             raw = raw or b""
-            number = NULL_ID if doc is None else doc
-            p = spans.get((number, texts[number].index(raw)))
+            p = spans.get((doc, nths[doc][raw]))
             a, b = union(p["start"].astype(np.int64), p["end"].astype(np.int64)) if p is not None else (none, none)
-            rows.append((doc, *finish(raw, a, b)))
+            rows.append((None if doc < LEAST_ID else doc, *finish(raw, a, b)))
         columns = list(zip(*rows)) or [[] for _ in target]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+        out = pa.table([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+        del texts, nths, rows, spans, columns
+        give_back()
+        return out
 
-    return docs.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(run, f"doc_id long, {schema}")
+    return docs.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(run, f"doc_id long, {schema}")
 
 
-def find(docs: DataFrame, units, identify: Identify, by_place: bool, alone: bool, schema: str, finish: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(
+    docs: DataFrame, units, identify: Identify, by_place: bool, schema: str, finish: Callable, locate: Locate = by_members, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """A row for each row of ``docs``: doc_id and what ``finish`` makes of its text and removed ranges.
 
     ``by_place``: a window is later also after its own document's earlier
-    ones, else only after those of smaller doc_ids.
+    ones, else only after those of smaller doc_ids.  ``locate`` finds the
+    recurring windows' occurrences in a bucket's documents.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    unnamed = F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 48))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), F.col(text_col).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(BUCKETS_A_PARTITION * partitions, estimated_bytes(rows) // BUCKET_BYTES) | 1
-    bucketed = rows.select("doc_id", "text", doc_bucket_column(F.coalesce("doc_id", F.lit(NULL_ID)), n).alias("bucket"))
+    bucketed = rows.select("doc_id", "text", doc_bucket_column(F.col("doc_id"), n).alias("bucket"))
     shared = _shared(_anchors(rows, units, n, not by_place), n, not by_place)
-    contexts = _contexts(bucketed, shared, units, n, by_place)
-    ranges = _resolve(contexts, units, n, by_place, identify, alone)
-    return _removed(bucketed, ranges, schema, finish)
+    contexts = _contexts(bucketed, shared, units, n, locate is not by_members)
+    back = _resolve(contexts, units, n, by_place, identify)
+    return _removed(bucketed, back, units, by_place, locate, schema, finish)

@@ -8,11 +8,14 @@ suffixes in one bucket begin with the same window.  Suffixes already alone in
 their bucket are final and left out of later rounds.
 
 The suffixes that can share a window are found, and dealt out by anchor, by
-``repeats``.
+``repeats``.  Equal contexts are packed as one that stands for all of them;
+every removal rests on the bucket that refinement gives a window.
 
 Defined cases: null reads as empty; texts shorter than the window lose
-nothing; a null doc_id comes before all others; rows that share a doc_id are
-separate texts, none of them smaller than another.
+nothing; a null doc_id comes before all others; rows that share a doc_id, or
+have none, are separate texts, none of them smaller than another; repeated
+rows lose the same; an empty table gives no rows; columns besides doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -71,14 +74,14 @@ def refine(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return final
 
 
-def identify(contexts: list[bytes], groups: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Window numbers of the contexts, negative for windows alone in their bucket."""
+def identify(contexts: list[bytes], groups: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Bucket numbers of the contexts' windows, negative for windows alone in theirs; a context's suffixes count ``weights`` times."""
     lengths = np.array([len(c) for c in contexts], np.int64)
     starts = np.cumsum(lengths) - lengths
     text = np.frombuffer(b"".join(contexts) + bytes(WINDOW + 16), np.uint8)
     at = np.repeat(starts, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
     found = refine(text, at, WINDOW)
-    return np.where(np.bincount(found)[found] > 1, found, -1)
+    return np.where(np.bincount(found, np.repeat(weights, n))[found] > 1, found, -1)
 
 
 def _digest(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
@@ -105,7 +108,7 @@ DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 def duplicate_bytes(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id with counts, and if asked spans (flat starts and ends, in bytes) and kept, the bytes left."""
     schema, finish = (f"{DIGEST}, spans array<int>, kept binary", _spans) if texts else (DIGEST, _digest)
-    return repeats.find(docs, repeats.Bytes(WINDOW, ANCHOR), identify, False, False, schema, finish)
+    return repeats.find(docs, repeats.Bytes(WINDOW, ANCHOR), identify, False, schema, finish)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
