@@ -1,9 +1,10 @@
 """Repeated phrases, removed after their first occurrence, by Aho-Corasick automata.
 
 ``repeats`` deals the candidate passages out by anchor and confirms by their
-words which windows of a passage recur; a run of such windows is a phrase.
-Each document bucket gets the phrases that its documents hold, as places in
-them, with where each occurs first in the table.  They are compiled into
+words which windows of a passage recur.  Each document bucket gets the runs
+of such windows that its documents hold, as places in them, with where each
+occurs first in the table; a run as long as it goes on is a phrase.  Phrases
+that come after their first occurrence somewhere in the bucket are compiled into
 automata over word numbers, sharded by bucket and below a bound of words, and
 all documents of the bucket are streamed through them to locate every
 occurrence; those after the first one are removed.
@@ -80,23 +81,24 @@ def automata(phrases: list[tuple[int, ...]]) -> Iterator:
 
 
 def locate(members: np.ndarray, runs: np.ndarray, texts: dict[int, list[bytes]], units, by_place: bool) -> np.ndarray:
-    """The ranges of the bucket's documents that hold a phrase after its first occurrence."""
-    head = members[np.argsort(members["rep"], kind="stable")]
-    head = head[np.searchsorted(head["rep"], runs["rep"])]
-    order = np.lexsort((head["first"], head["nth"], head["doc"]))
+    """The ranges of the bucket's documents that hold a phrase after its first occurrence.
+
+    A phrase is a passage of a document as long as its windows recur in a row,
+    and their first occurrences too.
+    """
+    late = repeats.late_runs(members, runs, by_place)
     numbers: dict[bytes, int] = {}
     number = numbers.setdefault
     known: dict[tuple[int, ...], int] = {}
     chosen: list[int] = []
     here, words = None, []
-    for i, doc, nth, first, off, n in zip(order.tolist(), *[x[order].tolist() for x in (head["doc"], head["nth"], head["first"], runs["off"], runs["n"])]):
+    for i, (doc, nth, start, n) in enumerate(zip(*[late[c].tolist() for c in ("doc", "nth", "start", "n")])):
         if here != (doc, nth):
             here, words = (doc, nth), texts[doc][nth].split()
-        start = first + off
         phrase = tuple([number(w, len(numbers) + 1) for w in words[start : start + n + WINDOW - 1]])
         if known.setdefault(phrase, len(chosen)) == len(chosen):
             chosen.append(i)
-    least, place = runs["least"][chosen], runs["place"][chosen]
+    least, place = late["least"][chosen], late["place"][chosen]
     lengths = np.array([len(p) for p in known], np.int64)
     get = numbers.get
     streams = [(doc, nth, tuple([get(w, 0) for w in raw.split()])) for doc, held in texts.items() for nth, raw in enumerate(held)]
@@ -107,9 +109,9 @@ def locate(members: np.ndarray, runs: np.ndarray, texts: dict[int, list[bytes]],
             if matches:
                 last, which = np.array(matches, np.int64).T
                 start = last + 1 - lengths[which]
-                late = repeats.later(np.full(len(which), doc), start, least[which], place[which], by_place)
-                rows = np.empty(int(late.sum()), RANGE)
-                rows["doc"], rows["nth"], rows["start"], rows["end"] = doc, nth, start[late], last[late] + 1
+                after = repeats.later(np.full(len(which), doc), start, least[which], place[which], by_place)
+                rows = np.empty(int(after.sum()), RANGE)
+                rows["doc"], rows["nth"], rows["start"], rows["end"] = doc, nth, start[after], last[after] + 1
                 out.append(rows)
     return np.concatenate(out)
 

@@ -51,7 +51,7 @@ BUCKETS_A_PARTITION = 2
 #: Numbers of documents without an id begin here and end before the second.
 NULL_ID, LEAST_ID = -(1 << 63), -(1 << 63) + (1 << 48)
 #: Bytes of contexts that the method gets at once, whole anchors at a time.
-METHOD_BYTES = 1 << 20
+METHOD_BYTES = 1 << 18
 
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -372,8 +372,7 @@ def unpack_texts(blob: bytes) -> list[bytes]:
 RUNS, MEMBERS = 0, 1
 
 
-def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, heads_only: bool) -> DataFrame:
-    """``heads_only``: of equal contexts only the first is a member, for methods that find the others by themselves."""
+def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int) -> DataFrame:
     tail = units.window - 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -402,12 +401,9 @@ def _contexts(docs: DataFrame, shared: DataFrame, units, n_buckets: int, heads_o
                     sent.append((doc, first, back, n, rep, 0))
                     groups.append(key % n_buckets)
                     contexts.append(context)
-                    many.append(1)
-                    members.append((doc, nth, first, rep))
-                else:
-                    many[rep] += 1
-                    if not heads_only:
-                        members.append((doc, nth, first, rep))
+                    many.append(0)
+                many[rep] += 1
+                members.append((doc, nth, first, rep))
         out = []
         if sent:
             chosen, group = np.array(sent, CTX), np.array(groups)
@@ -543,18 +539,42 @@ def later(doc, place, least, least_place, by_place: bool):
     return (doc > least) | (by_place & (doc == least) & (place > least_place))
 
 
-def by_members(members: np.ndarray, runs: np.ndarray, texts: dict, units, by_place: bool) -> np.ndarray:
-    """The ranges to remove where a run's occurrences are those of its context's members."""
+#: A run of windows at a place of a document that come after their first occurrences.
+LATE = np.dtype([("doc", "<i8"), ("nth", "<u4"), ("start", "<i8"), ("n", "<i8"), ("least", "<i8"), ("place", "<i8")])
+
+
+def late_runs(members: np.ndarray, runs: np.ndarray, by_place: bool) -> np.ndarray:
+    """The members' places of each run that come after its first occurrence; runs that go on in both are one."""
     members = members[np.argsort(members["rep"], kind="stable")]
     low, high = np.searchsorted(members["rep"], runs["rep"]), np.searchsorted(members["rep"], runs["rep"], side="right")
     run = np.repeat(np.arange(len(runs)), high - low)
     which = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-    found, of_run = members[which], runs[run]
-    place = found["first"] + of_run["off"].astype(np.int32)
-    late = later(found["doc"], place, of_run["least"], of_run["place"], by_place)
-    out = np.empty(int(late.sum()), RANGE)
-    out["doc"], out["nth"], out["start"] = found["doc"][late], found["nth"][late], place[late]
-    out["end"] = out["start"] + of_run["n"][late].astype(np.int32) + units.window - 1
+    out = np.empty(len(run), LATE)
+    for c in ("doc", "nth"):
+        out[c] = members[c][which]
+    for c in ("n", "least", "place"):
+        out[c] = runs[c][run]
+    out["start"] = members["first"][which].astype(np.int64) + runs["off"][run]
+    out = out[later(out["doc"], out["start"], out["least"], out["place"], by_place)]
+    out = out[np.lexsort((out["start"], out["nth"], out["doc"]))]
+    if not len(out):
+        return out
+    goes_on = out["start"][1:] == out["start"][:-1] + out["n"][:-1]
+    for c in ("doc", "nth", "least"):
+        goes_on &= out[c][1:] == out[c][:-1]
+    if by_place:
+        goes_on &= out["place"][1:] == out["place"][:-1] + out["n"][:-1]
+    begins = np.concatenate([[0], np.flatnonzero(~goes_on) + 1])
+    whole = out[begins]
+    whole["n"] = np.add.reduceat(out["n"], begins)
+    return whole
+
+
+def by_members(members: np.ndarray, runs: np.ndarray, texts: dict, units, by_place: bool) -> np.ndarray:
+    """The ranges to remove where a run's occurrences are those of its context's members."""
+    late = late_runs(members, runs, by_place)
+    out = np.empty(len(late), RANGE)
+    out["doc"], out["nth"], out["start"], out["end"] = late["doc"], late["nth"], late["start"], late["start"] + late["n"] + units.window - 1
     return out
 
 
@@ -621,6 +641,6 @@ def find(
     n = max(BUCKETS_A_PARTITION * partitions, estimated_bytes(rows) // BUCKET_BYTES) | 1
     bucketed = rows.select("doc_id", "text", doc_bucket_column(F.col("doc_id"), n).alias("bucket"))
     shared = _shared(_anchors(rows, units, n, not by_place), n, not by_place)
-    contexts = _contexts(bucketed, shared, units, n, locate is not by_members)
+    contexts = _contexts(bucketed, shared, units, n)
     back = _resolve(contexts, units, n, by_place, identify)
     return _removed(bucketed, back, units, by_place, locate, schema, finish)

@@ -34,7 +34,7 @@ ANCHOR = 16
 
 def ranks(values: np.ndarray) -> np.ndarray:
     """Bucket numbers: equal for equal values, in their order."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ordered = values[order]
     out = np.empty(len(values), np.int64)
     out[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(values) else 0
@@ -47,31 +47,31 @@ def refine(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     ``text`` must reach ``window + 8`` bytes beyond every start.
     """
     loads = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-    length, final = 8, np.full(len(at), -1, np.int64)
-    # Which suffixes each round needs: the starts, and those its buckets point to.
-    plan = []
+    steps, length = [], 8
     while length < window:
-        step = min(length, window - length)
-        plan.append((length, step))
-        length += step
-    needed = [at]
-    for _, step in reversed(plan):
-        needed.append(np.unique(np.concatenate([needed[-1], needed[-1] + step])))
-    places = needed.pop()
-    buckets = ranks(loads[places].astype(np.uint64))
-    for _, step in plan:
-        wanted = needed.pop()
-        mine = buckets[np.searchsorted(places, wanted)]
-        size = np.bincount(mine)
-        open_ = size[mine] > 1  # suffixes alone in their bucket need no more
-        theirs = buckets[np.searchsorted(places, wanted[open_] + step)]
-        refined = np.empty(len(wanted), np.int64)
-        refined[open_] = ranks(mine[open_] << 32 | theirs)
+        steps.append(min(length, window - length))
+        length += steps[-1]
+    # Which suffixes each round needs: the starts, and those its buckets point to.
+    needed = np.zeros(len(loads), bool)
+    needed[at] = True
+    rounds = [needed]
+    for step in reversed(steps):
+        wider = rounds[-1].copy()
+        wider[step:] |= rounds[-1][:-step]
+        rounds.append(wider)
+    places = np.flatnonzero(rounds.pop())
+    buckets = np.zeros(len(loads), np.int64)
+    buckets[places] = ranks(loads[places])
+    for step in steps:
+        places = np.flatnonzero(rounds.pop())
+        mine = buckets[places]
+        open_ = np.bincount(mine)[mine] > 1  # suffixes alone in their bucket need no more
+        refined = np.empty(len(places), np.int64)
+        refined[open_] = ranks(mine[open_] << 32 | buckets[places[open_] + step])
         base = int(refined[open_].max()) + 1 if open_.any() else 0
-        refined[~open_] = base + ranks(mine[~open_])
-        places, buckets = wanted, refined
-    final[:] = buckets[np.searchsorted(places, at)]
-    return final
+        refined[~open_] = base + np.arange(int((~open_).sum()))
+        buckets[places] = refined
+    return buckets[at]
 
 
 def identify(contexts: list[bytes], groups: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
