@@ -349,36 +349,62 @@ def test_quotes_make_threads(spark):
     assert chat.reply_ordered(empty).collect() == []
 
 
+QUOTING = [
+    (1, 0, "u", "one a\ntwo b\nthree c\n\npara d\n\npara e"),
+    (1, 1, "u", "other"),
+    (1, 2, "u", "> One a\n> two  b\nsome lines"),
+    (1, 3, "u", "> para d\n>\n> para e\nsome paragraphs"),
+    (1, 4, "u", "> two b\n> para d\nnot consecutive"),
+    (1, 5, "u", "> one a two b three c\n>> other\n> other\nwrapped anew"),
+    (2, 0, "u", "> shared words\nearly"),
+    (2, 1, "u", "shared words"),
+    (3, 5, "u", "shared words"),
+    (None, 0, "u", "lost words"),
+    (None, 0, "u", "> lost words\nnowhere"),
+    (4, 0, "u", "lost words"),
+    (5, 0, "u", "> lost words\nfound"),
+    (6, None, "u", "> lost words\nno turn"),
+    (7, 0, "u", "> first\n>> second\n> third\n>>> first"),
+    (7, 3, "u", "first"),
+]
+
+
 def test_quotes_of_some_lines_and_of_other_holders(spark):
-    rows = [
-        (1, 0, "u", "one a\ntwo b\nthree c\n\npara d\n\npara e"),
-        (1, 1, "u", "other"),
-        (1, 2, "u", "> One a\n> two  b\nsome lines"),
-        (1, 3, "u", "> para d\n>\n> para e\nsome paragraphs"),
-        (1, 4, "u", "> two b\n> para d\nnot consecutive"),
-        (2, 0, "u", "> shared words\nearly"),
-        (2, 1, "u", "shared words"),
-        (3, 5, "u", "shared words"),
-        (None, 0, "u", "lost words"),
-        (4, 0, "u", "lost words"),
-        (5, 0, "u", "> lost words\nfound"),
-    ]
-    found = chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    found = chat.reply_ordered(spark.createDataFrame(QUOTING, "conv_id long, turn long, role string, text string")).collect()
     out = {r.body: (r.n_linked, r.parent_turn) for r in found}
+    assert len(found) == len(QUOTING)
     assert out["some lines"] == (1, 0) and out["some paragraphs"] == (1, 0) and out["not consecutive"] == (0, 3)
-    assert out["early"] == (1, None) and out["found"] == (1, None)
+    assert out["early"] == (1, None) and out["found"] == (1, None) and out["nowhere"] == (0, None)
 
 
-def test_quotes_against_sql(spark):
-    conversations = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
+def test_a_link_outlives_the_quoting_conversation(spark):
+    rows = [(1, 0, "u", "> shared words"), (1, 1, "u", "shared words"), (2, 0, "u", "shared words")]
+    found = chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.n_linked for r in found} == {(1, 0): 1, (1, 1): 0, (2, 0): 0}
+
+
+@pytest.mark.parametrize("messages", [MESSAGES, QUOTING])
+def test_quotes_against_sql(spark, messages):
+    conversations = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
     names = ["conv_id", "turn", "role", "body_sha256", "n_quotes", "n_linked", "parent_turn", "thread_turn", "reply_depth", "position"]
     got = chat.reply_ordered(conversations).withColumn("body_sha256", F.sha2("body", 256)).select(*names).collect()
-    conversations = conversations.toPandas()  # noqa: F841  read by name below
+    import pyarrow as pa
+
+    conversations = pa.table(  # noqa: F841  read by name below
+        {c: pa.array([m[k] for m in messages], t) for k, (c, t) in enumerate([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])}
+    )
     found = duckdb.sql(chat.ORACLE_SQL)
     want = [tuple(r[found.columns.index(c)] for c in names) for r in found.fetchall()]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_a_very_long_quote(spark):
+    lines = [f"line {k}" for k in range(4000)]
+    rows = [(1, 0, "u", "\n".join(lines)), (1, 1, "u", "\n".join("> " * (1 + k % 2) + x for k, x in enumerate(lines))), (1, 2, "u", "\n".join("> " + x for x in lines))]
+    found = {r.turn: r for r in chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (found[1].n_quotes, found[1].n_linked, found[2].n_quotes, found[2].n_linked) == (4000, 4000, 1, 1)
+
+
 def test_a_long_conversation(spark):
     rows = [(9, t, "u", f"m{t}") for t in range(2500)]
     out = chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

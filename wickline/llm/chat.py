@@ -63,22 +63,18 @@ def body_of(lines: Column) -> Column:
 
 def passages_of(lines: Column) -> Column:
     """Structs (depth, text, n) of the quoted runs in order, the text normalised; n is its lines with a word."""
-    Acc = "array<struct<depth:int,text:string,n:int>>"
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    starts = F.filter(every, lambda i: (i == 0) | (F.get(lines, i)["depth"] != F.get(lines, i - 1)["depth"]))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(lines)))
+    runs = F.transform(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"]))
+    quoted = F.filter(runs, lambda r: F.get(r, F.lit(0))["depth"] > 0)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        counts = (normalised(x["line"]) != "").cast("int")
-        joined = F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(x["depth"].alias("depth"), F.concat(last["text"], F.lit(" "), x["line"]).alias("text"), (last["n"] + counts).alias("n"))),
-        )
-        fresh = F.concat(acc, F.array(F.struct(x["depth"].alias("depth"), x["line"].alias("text"), counts.alias("n"))))
-        return F.when((F.size(acc) > 0) & (last["depth"] == x["depth"]), joined).otherwise(fresh)
+    def passage(run: Column) -> Column:
+        text = F.array_join(F.transform(run, lambda x: x["line"]), " ")
+        worded = F.filter(run, lambda x: normalised(x["line"]) != "")
+        return F.struct(F.get(run, F.lit(0))["depth"].alias("depth"), normalised(text).alias("text"), F.size(worded).alias("n"))
 
-    runs = F.aggregate(lines, F.array().cast(Acc), lambda acc, x: step(acc, x).cast(Acc))
-    quoted = F.filter(runs, lambda r: r["depth"] > 0)
-    clean = F.transform(quoted, lambda r: F.struct(r["depth"].alias("depth"), normalised(r["text"]).alias("text"), r["n"].alias("n")))
-    return F.filter(clean, lambda r: r["text"] != "")
+    return F.filter(F.transform(quoted, passage), lambda r: r["text"] != "")
 
 
 def originals_of(body: Column, runs: list[int]) -> Column:
@@ -176,7 +172,10 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     over = Window.partitionBy("conv_id").orderBy("thread_turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = out.where("turn IS NOT NULL AND conv_id IS NOT NULL").groupBy(*part).agg(F.count("*").alias("n"))
     starts = starts.select(*part, F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    ranked = out.withColumn("rank", F.row_number().over(inside)).join(starts, part, "left")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    ranked = out.where(placed).withColumn("rank", F.row_number().over(inside)).join(starts, part)
+    # Rows without a conv_id or turn have no place, and no window gathers them.
+    ranked = ranked.unionByName(out.where(~placed), allowMissingColumns=True)
     return ranked.select(
         "conv_id",
         "turn",
@@ -198,38 +197,50 @@ def op8_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: DuckDB: the contract of the docstring with lines as rows.
 ORACLE_SQL = r"""
-WITH RECURSIVE l AS (
-  SELECT conv_id, turn, role, text, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS raw
-  FROM (SELECT conv_id, turn, role, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations)),
-d AS (
-  SELECT *, length(regexp_extract(raw, '^(?:[ \t]{0,3}>)+[ \t]?')) - length(replace(regexp_extract(raw, '^(?:[ \t]{0,3}>)+[ \t]?'), '>', '')) AS depth,
-    regexp_replace(raw, '^(?:[ \t]{0,3}>)+[ \t]?', '') AS line FROM l),
-n AS (SELECT *, lead(depth) OVER m AS next_depth, i - row_number() OVER (PARTITION BY conv_id, turn, role, text, depth ORDER BY i) AS run FROM d WINDOW m AS (PARTITION BY conv_id, turn, role, text ORDER BY i)),
-b AS (
-  SELECT conv_id, turn, role, text, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE depth = 0 AND NOT (regexp_matches(line, '(?i)(wrote|schrieb|écrit|escribió) ?:\s*$') AND coalesce(next_depth, 0) > 0)), ''), '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g') AS body
-  FROM n GROUP BY ALL),
-q AS (
-  SELECT conv_id, turn, role, text, depth, min(i) AS pos, trim(regexp_replace(lower(string_agg(line, ' ' ORDER BY i)), '[ \t\n\r\x0B\f]+', ' ', 'g')) AS part
-  FROM n WHERE depth > 0 GROUP BY conv_id, turn, role, text, depth, run),
-o AS (
-  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '[ \t\n\r\x0B\f]+', ' ', 'g')) AS part
-  FROM (SELECT conv_id, turn, unnest([body] || regexp_split_to_array(body, '\n[ \t\r]*\n') || string_split(body, chr(10))) AS p FROM b)),
-near AS (SELECT conv_id, part, min(turn) AS near_turn FROM o WHERE part <> '' GROUP BY ALL),
-far AS (SELECT part, min({'c': conv_id, 't': near_turn}) AS f FROM near GROUP BY ALL),
-k AS (
-  SELECT q.*, CASE WHEN near_turn < turn THEN q.conv_id WHEN f.c <> q.conv_id THEN f.c END AS to_conv, CASE WHEN near_turn < turn THEN near_turn WHEN f.c <> q.conv_id THEN f.t END AS to_turn
-  FROM q LEFT JOIN near USING (conv_id, part) LEFT JOIN far USING (part) WHERE part <> ''),
-m AS (SELECT conv_id, turn, arg_min(to_turn, pos) FILTER (WHERE depth = 1 AND to_conv = conv_id) AS quoted_turn, count(to_turn) AS n_linked FROM k GROUP BY ALL),
-p AS (
-  SELECT conv_id, turn, coalesce(quoted_turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS parent_turn, coalesce(n_linked, 0) AS n_linked
-  FROM (SELECT DISTINCT conv_id, turn FROM b) LEFT JOIN m USING (conv_id, turn)),
-t AS (
-  SELECT conv_id, turn, turn AS thread_turn, 0 AS reply_depth FROM p WHERE parent_turn IS NULL
-  UNION ALL SELECT p.conv_id, p.turn, t.thread_turn, t.reply_depth + 1 FROM p JOIN t ON p.conv_id = t.conv_id AND p.parent_turn = t.turn)
-SELECT b.conv_id, b.turn, b.role, sha256(b.body) AS body_sha256,
-  (SELECT count(*) FROM k WHERE k.conv_id = b.conv_id AND k.turn = b.turn AND k.text = b.text) AS n_quotes,
-  n_linked, parent_turn, thread_turn, CAST(reply_depth AS BIGINT) AS reply_depth,
-  row_number() OVER (PARTITION BY b.conv_id ORDER BY thread_turn, b.turn, b.role, body) AS position
-FROM b JOIN p USING (conv_id, turn) JOIN t USING (conv_id, turn)
+WITH RECURSIVE message AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+raw_line AS (SELECT id, conv_id, turn, generate_subscripts(parts, 1) AS i, unnest(parts) AS raw FROM (SELECT *, string_split(text, chr(10)) AS parts FROM message)),
+marked AS (SELECT *, regexp_extract(raw, '^(?:[ \t]{0,3}>)+[ \t]?') AS mark FROM raw_line),
+line AS (
+  SELECT id, conv_id, turn, i, length(mark) - length(replace(mark, '>', '')) AS depth, substr(raw, length(mark) + 1) AS own,
+    trim(regexp_replace(lower(substr(raw, length(mark) + 1)), '[ \t\n\r\x0B\f]+', ' ', 'g')) AS norm
+  FROM marked),
+edge AS (SELECT *, lag(depth) OVER w AS above, lead(depth) OVER w AS below FROM line WINDOW w AS (PARTITION BY id ORDER BY i)),
+grouped AS (SELECT *, count_if(above IS DISTINCT FROM depth) OVER (PARTITION BY id ORDER BY i) AS run FROM edge),
+quote AS (
+  SELECT id, conv_id, turn, run, any_value(depth) AS depth, trim(string_agg(norm, ' ' ORDER BY i) FILTER (WHERE norm <> '')) AS part, count_if(norm <> '') AS n
+  FROM grouped WHERE depth > 0 GROUP BY id, conv_id, turn, run HAVING count_if(norm <> '') > 0),
+own AS (SELECT * FROM edge WHERE depth = 0 AND NOT (coalesce(below, 0) > 0 AND regexp_matches(own, '(?i)(wrote|schrieb|écrit|escribió) ?:\s*$'))),
+body AS (
+  SELECT m.id, regexp_replace(coalesce(string_agg(own.own, chr(10) ORDER BY i), ''), '^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$', '', 'g') AS body
+  FROM message m LEFT JOIN own USING (id) GROUP BY m.id),
+worded AS (SELECT id, conv_id, turn, norm, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM own WHERE norm <> ''),
+original AS (
+  SELECT w.conv_id, w.turn, string_agg(o.norm, ' ' ORDER BY o.k) AS part
+  FROM worded w JOIN (SELECT DISTINCT n FROM quote) s ON true JOIN worded o ON o.id = w.id AND o.k BETWEEN w.k AND w.k + s.n - 1
+  GROUP BY w.id, w.conv_id, w.turn, w.k, s.n HAVING count(*) = s.n
+  UNION SELECT conv_id, turn, norm FROM worded
+  UNION SELECT m.conv_id, m.turn, trim(regexp_replace(lower(p), '[ \t\n\r\x0B\f]+', ' ', 'g'))
+  FROM (SELECT id, unnest([body] || regexp_split_to_array(body, '\n[ \t\r]*\n')) AS p FROM body) JOIN message m USING (id)),
+holder AS (SELECT conv_id, part, min(turn) AS turn FROM original WHERE part <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, part),
+link AS (
+  SELECT q.id, q.run, q.depth, q.conv_id, q.turn,
+    max(h.turn) FILTER (WHERE h.conv_id = q.conv_id AND h.turn < q.turn) AS here,
+    arg_min(h.turn, h.conv_id) FILTER (WHERE h.conv_id <> q.conv_id) AS away
+  FROM quote q LEFT JOIN holder h USING (part) GROUP BY q.id, q.run, q.depth, q.conv_id, q.turn),
+spot AS (SELECT DISTINCT conv_id, turn FROM message WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+stated AS (
+  SELECT conv_id, turn, count(coalesce(here, away)) AS n_linked, arg_min(here, {'run': run, 'here': here}) FILTER (WHERE depth = 1 AND here IS NOT NULL) AS quoted
+  FROM link GROUP BY conv_id, turn),
+parent AS (
+  SELECT s.conv_id, s.turn, coalesce(quoted, lag(s.turn) OVER (PARTITION BY s.conv_id ORDER BY s.turn)) AS parent_turn, coalesce(n_linked, 0) AS n_linked
+  FROM spot s LEFT JOIN stated t ON t.conv_id = s.conv_id AND t.turn = s.turn),
+tree AS (
+  SELECT conv_id, turn, turn AS thread_turn, 0 AS reply_depth FROM parent WHERE parent_turn IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, t.thread_turn, t.reply_depth + 1 FROM parent p JOIN tree t ON p.conv_id = t.conv_id AND p.parent_turn = t.turn)
+SELECT m.conv_id, m.turn, m.role, sha256(b.body) AS body_sha256, (SELECT count(*) FROM quote q WHERE q.id = m.id) AS n_quotes,
+  coalesce(p.n_linked, 0) AS n_linked, p.parent_turn, t.thread_turn, CAST(coalesce(t.reply_depth, 0) AS BIGINT) AS reply_depth,
+  CASE WHEN t.turn IS NOT NULL THEN row_number() OVER (PARTITION BY m.conv_id ORDER BY t.thread_turn NULLS LAST, m.turn, m.role NULLS FIRST, b.body) END AS position
+FROM message m JOIN body b USING (id) LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """
