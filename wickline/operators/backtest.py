@@ -199,6 +199,12 @@ def trade_metrics(found: DataFrame, keys: Sequence[str], label: str = "strategy"
     return rows.select(*keys, *[(F.coalesce(c, F.when(F.col("win_rate") == 0, F.lit(0.0))) if c == "profit_factor" else F.col(c)).alias(f"{label}_{c}") for c in TRADE_METRICS])
 
 
+def buy_hold_trade(bt: DataFrame, keys: Sequence[str], config: BacktestConfig = BacktestConfig()) -> DataFrame:
+    """Buy and hold as one trade over all bars, for ``trade_metrics``."""
+    last = F.max_by("bh_equity", "idx")
+    return bt.groupBy(*keys).agg((last / config.initial_capital - 1).alias("net_return"), F.count("*").alias("bars_held"))
+
+
 def evaluate(signals: DataFrame, keys: Sequence[str], config: BacktestConfig = BacktestConfig(), cost_rate: Column | None = None, with_trades: bool = True) -> DataFrame:
     """Backtest, metrics and, if asked, trade metrics of every series; without a trade their count is 0."""
     bt = backtest(signals, keys, config, cost_rate)
@@ -211,8 +217,11 @@ def evaluate(signals: DataFrame, keys: Sequence[str], config: BacktestConfig = B
 
 def samples(bt: DataFrame, keys: Sequence[str], ratio: float) -> DataFrame:
     """Each bar in the sample "full" and in "in_sample" or "out_of_sample", by position; adds ``sample``."""
-    whole = frames.whole(keys)
-    rows = bt.withColumns({"_n": F.count("*").over(whole), "_first": F.min("idx").over(whole)})
+    counts = {"_n": F.count("*"), "_first": F.min("idx")}
+    if frames.chunk_rows(bt, None):
+        rows = bt.join(bt.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()]), list(keys))
+    else:  # one pass over the series, which is in one task anyway
+        rows = bt.withColumns({n: c.over(frames.whole(keys)) for n, c in counts.items()})
     early = F.col("idx") - F.col("_first") < F.floor(F.col("_n") * ratio)
     part = F.when(early, "in_sample").otherwise("out_of_sample")
     return rows.withColumn("sample", F.explode(F.array(F.lit("full"), part))).drop("_n", "_first")

@@ -88,6 +88,12 @@ BASELINES = (
     Strategy("NO_TRADE", "never long", no_trade),
     Strategy("SMA_CROSS_20_100", "long while the fast mean is above the slow one", sma_cross(), back=100),
 )
+
+
+def sma_strategy(fast: int = 20, slow: int = 100) -> Strategy:
+    return Strategy(f"SMA_CROSS_{fast}_{slow}", "long while the fast mean is above the slow one", sma_cross(fast, slow), back=slow)
+
+
 #: The two rules that are audited.
 AUDITED = tuple(s for s in CATALOG if s.strategy_id in ("S2_H2_WEDNESDAY_LONG", "S2_H4_AVOID_THURSDAY"))
 REGISTRY = {s.strategy_id: s for s in (*CATALOG, *BASELINES)}
@@ -179,31 +185,36 @@ def variant_table(spark: SparkSession, chosen: Sequence[Variant]) -> DataFrame:
     return spark.createDataFrame([(v.variant_id, v.hypothesis_id, v.params_json) for v in chosen], "variant_id string, hypothesis_id string, params_json string")
 
 
-def variant_condition(v: Variant) -> Column:
-    """The variant's condition over ``research_features``; quantiles of the whole sample are columns q_<window>_<q>."""
+def variant_conditions(v: Variant) -> dict[str, Column]:
+    """The conditions over ``research_features`` that the variant asks for together, by name.
+
+    Variants share conditions by name; quantiles of the whole sample are columns q_<window>_<q>.
+    """
     p = v.params
+    above = lambda column, limit: (f"{column}>{limit}", F.col(column) > limit)
+    trend = lambda n: (f"close>sma_{n}", F.col("close") > F.col(f"sma_{n}"))
     if v.hypothesis_id == "H1":
-        out = (F.col(f"return_{p['lookback']}h") > p["min_return"]) & (F.col(f"volume_zscore_{p['volume_window']}h") > p["volume_z"])
-        if p["use_trend_filter"]:
-            out = out & (F.col("close") > F.col("sma_200"))
+        out = [above(f"return_{p['lookback']}h", p["min_return"]), above(f"volume_zscore_{p['volume_window']}h", p["volume_z"])]
+        out += [trend(200)] if p["use_trend_filter"] else []
     elif v.hypothesis_id == "H2":
-        vol = F.col(f"rolling_vol_{p['vol_window']}h")
-        out = (F.col(f"return_{p['lookback']}h") < -abs(p["drop_threshold"])) & (vol <= F.col(quantile_column(p["vol_window"], p["max_vol_quantile"])))
+        fall, vol, limit = -abs(p["drop_threshold"]), f"rolling_vol_{p['vol_window']}h", quantile_column(p["vol_window"], p["max_vol_quantile"])
+        out = [(f"return_{p['lookback']}h<{fall}", F.col(f"return_{p['lookback']}h") < fall), (f"{vol}<={limit}", F.col(vol) <= F.col(limit))]
     elif v.hypothesis_id == "H3":
-        out = (
-            (F.col("close") > F.col(f"rolling_high_prev_{p['breakout_window']}h"))
-            & (F.col(f"volume_zscore_{p['volume_window']}h") > p["volume_z"])
-            & (F.col("close") > F.col(f"sma_{p['trend_sma']}"))
-        )
+        high = f"rolling_high_prev_{p['breakout_window']}h"
+        out = [(f"close>{high}", F.col("close") > F.col(high)), above(f"volume_zscore_{p['volume_window']}h", p["volume_z"]), trend(p["trend_sma"])]
     else:
-        out = (F.col("close") > F.col(f"sma_{p['trend_sma']}")) & (F.col(f"return_{p['confirm_return_window']}h") > p["min_confirm_return"])
-    return out & (F.col("is_weekend") == 0) if p["avoid_weekend"] else out
+        out = [trend(p["trend_sma"]), above(f"return_{p['confirm_return_window']}h", p["min_confirm_return"])]
+    return dict([*out, ("weekday", F.col("is_weekend") == 0)] if p["avoid_weekend"] else out)
 
 
 def quantile_column(window: int, q: float) -> str:
     return f"q_{window}_{round(q * 100)}"
 
 
+#: Conditions that one long holds.
+BITS = 62
+
+
 def grid_signals(bars: DataFrame, chosen: Sequence[Variant], keys: Sequence[str] = KEYS, chunk: int | None = None) -> DataFrame:
     """Long form over variants: keys, idx, prices, variant_id, hypothesis_id and signal.
 
@@ -216,7 +227,23 @@ def grid_signals(bars: DataFrame, chosen: Sequence[Variant], keys: Sequence[str]
         # Full-sample quantiles, as the rule is stated; a row a series.
         limits = rows.groupBy(*keys).agg(*[F.percentile(f"rolling_vol_{w}h", q).alias(quantile_column(w, q)) for w, q in wanted])
         rows = rows.join(limits, list(keys))
+    # Each condition is one bit, computed once a bar; a variant is the bits it needs.
+    asked = [(v, variant_conditions(v)) for v in chosen]
+    named = {name: c for _, conditions in asked for name, c in conditions.items()}
+    place = {name: divmod(k, BITS) for k, name in enumerate(named)}
+    words = range(-(-len(named) // BITS))
+    met = [
+        sum((F.when(c, F.lit(1 << place[n][1])).otherwise(F.lit(0).cast("long")) for n, c in named.items() if place[n][0] == w), F.lit(0).cast("long")).alias(f"_met{w}")
+        for w in words
+    ]
+    need = lambda conditions, w: F.lit(sum(1 << place[n][1] for n in conditions if place[n][0] == w)).cast("long").alias(f"_need{w}")
     each = [
-        F.struct(F.lit(v.variant_id).alias("variant_id"), F.lit(v.hypothesis_id).alias("hypothesis_id"), flag(variant_condition(v)).alias("signal")) for v in chosen
+        F.struct(F.lit(v.variant_id).alias("variant_id"), F.lit(v.hypothesis_id).alias("hypothesis_id"), *[need(conditions, w) for w in words])
+        for v, conditions in asked
     ]
-    return rows.select(*keys, "idx", "open_time_utc", "open", "close", F.inline(F.array(*each)))
+    columns = [*keys, "idx", "open_time_utc", "open", "close"]
+    rows = rows.select(*columns, *met).select("*", F.inline(F.array(*each)))
+    has = F.lit(True)
+    for w in words:
+        has = has & (F.col(f"_met{w}").bitwiseAND(F.col(f"_need{w}")) == F.col(f"_need{w}"))
+    return rows.select(*columns, "variant_id", "hypothesis_id", flag(has).alias("signal"))

@@ -39,18 +39,27 @@ def overfit_flags(wide: DataFrame, min_trades: int = 30) -> DataFrame:
 
 
 def leaderboard(wide: DataFrame, keys: Sequence[str] = (), min_trades: int = 30, top: int = 3) -> DataFrame:
-    """The best ``top`` variants of each hypothesis by in-sample score; few-trade variants only if there are no others."""
+    """The best ``top`` variants of each hypothesis by in-sample score; few-trade variants only if there are no others.
+
+    Scores have ten digits, so variants with the same trades are ties and go by their names.
+    """
     c = lambda n: F.coalesce(F.col(f"in_sample_strategy_{n}"), F.lit(-999.0))
     enough = F.coalesce("full_strategy_trade_count", F.lit(0.0)) >= max(5, min_trades // 2)
     rows = wide.withColumn("_enough", enough)
     some = rows.groupBy(*keys).agg(F.max("_enough").alias("_some")) if keys else rows.agg(F.max("_enough").alias("_some"))
     rows = rows.join(F.broadcast(some), list(keys)) if keys else rows.join(F.broadcast(some))
     score = F.when(F.col("_some"), c("sharpe") + c("calmar") * 0.25 + c("total_return") * 0.10).otherwise(c("sharpe"))
+    score = F.format_string("%.9e", score).cast("double")
     rows = rows.where(F.col("_enough") | ~F.col("_some")).withColumn("selection_score", score)
     best = Window.partitionBy(*keys, "hypothesis_id").orderBy(F.col("selection_score").desc(), "variant_id")
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).drop("_enough", "_some")
 
 
+def on_leaderboard(flags: DataFrame, best: DataFrame, by: Sequence[str] = ("variant_id",)) -> DataFrame:
+    """The flags of the leaderboard's variants; all of them if the leaderboard is empty is the caller's choice."""
+    return flags.join(best.select(*by), list(by), "left_semi")
+
+
 def parameter_sensitivity(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Out-of-sample medians for every value of every parameter; needs params_json."""
     r, s, d = (F.col(f"out_of_sample_strategy_{n}") for n in ("total_return", "sharpe", "max_drawdown"))

@@ -56,7 +56,30 @@ def _sided(ks: Column, side: str) -> Column:
 
 
 def with_count(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.withColumn("n", F.count("*").over(frames.whole(keys)))
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+
+
+def samples_restarted(bars: DataFrame, strategies: Sequence[signals.Strategy], keys: Sequence[str], config: BacktestConfig = BacktestConfig()) -> DataFrame:
+    """Metrics and trades of the full series and of its two samples, each run from its own first bar on.
+
+    Signals see a sample's bars only, so means warm up anew; ``bt.metrics_by_sample`` cuts one run instead.
+    """
+    part = [*keys, "sample"]
+    cut = bt.samples(frames.indexed(bars, keys), keys, config.split_ratio).drop("idx")
+    return bt.evaluate(signals.with_signals(cut, strategies, part), [*part, "strategy_id"], config)
+
+
+def yearly_restarted(
+    bars: DataFrame, strategies: Sequence[signals.Strategy], keys: Sequence[str], config: BacktestConfig = BacktestConfig(), least: int = 100
+) -> DataFrame:
+    """Metrics of each calendar year of at least ``least`` bars, its signals run anew."""
+    part = [*keys, "year"]
+    rows = bars.withColumn("year", F.year("open_time_utc"))
+    long = rows.groupBy(*part).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    run = bt.backtest(signals.with_signals(rows.join(long, part), strategies, part), [*part, "strategy_id"], config)
+    out = bt.metrics(run, [*part, "strategy_id"], config)
+    gained = F.col("strategy_total_return")
+    return out.withColumns({"beats_benchmark_total_return": gained > F.col("benchmark_total_return"), "positive_strategy_return": gained > 0})
 
 
 def walk_forward(rows: DataFrame, keys: Sequence[str], config: BacktestConfig = BacktestConfig()) -> DataFrame:

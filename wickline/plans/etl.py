@@ -37,21 +37,26 @@ KLINES_COLUMNS = (
 
 
 def enriched(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid bars transformed, and the rows that break a constraint; one bad row doesn't stop its symbol."""
+    """Valid bars transformed, and the rows that break a constraint; one bad row doesn't stop its symbol.
+
+    Of rows with one key the last in the file counts, so a correction further
+    down replaces what it corrects.
+    """
     marked = bars.withColumn("_ok", valid_bar())
-    good = cleaning.deduplicated(marked.where("_ok").drop("_ok"), list(KLINES_KEY), [c for c in bars.columns if c not in KLINES_KEY])
-    return features.transform(good), marked.where("NOT _ok").drop("_ok")
+    order = [cleaning.INGEST] if cleaning.INGEST in bars.columns else [c for c in bars.columns if c not in KLINES_KEY]
+    good = cleaning.deduplicated(marked.where("_ok").drop("_ok"), list(KLINES_KEY), order).drop(cleaning.INGEST)
+    return features.transform(good), marked.where("NOT _ok").drop("_ok", cleaning.INGEST)
 
 
 def run(spark: SparkSession, root: str, out: str, symbols: list[str], interval: str = "1h", dry_run: bool = False, quality_report: bool = False) -> dict:
     """A summary {processed, failed, total_rows, quarantined}; failures of checks don't stop the load."""
     began = time.time()
-    bars = readers.load_symbols(spark, root, symbols, interval)
+    bars = readers.load_symbols(spark, root, symbols, interval, ordered=True)
     there = [r.symbol for r in bars.select("symbol").distinct().collect()]
     summary = {"processed": sorted(there), "failed": sorted(set(symbols) - set(there)), "total_rows": 0, "quarantined": 0}
     if not there:
         return summary
-    quality = checks.validate(bars)
+    quality = checks.validate(bars, order=cleaning.INGEST if cleaning.INGEST in bars.columns else None)
     if quality_report:
         print(checks.quality_report(bars))
     good, bad = enriched(bars)

@@ -1,6 +1,6 @@
 """The research flows end to end: lab, audit and institutional validation, with their reports.
 
-    python -m wickline.plans.research {eda,backtest,lab,patterns,audit} INPUT OUT
+    python -m wickline.plans.research {eda,backtest,lab,grid,patterns,audit} INPUT OUT
 """
 
 from __future__ import annotations
@@ -55,11 +55,13 @@ def audit(bars: DataFrame, config: BacktestConfig = BacktestConfig(), keys: Sequ
         "walk_forward": tests,
         "aggregate": wf.aggregated(tests.where("side = 'test'"), by),
         "costs": wf.cost_stress(rows, signals.AUDITED, keys, AUDIT_COSTS, config),
-        "years": bt.yearly(run, by, config),
+        "years": wf.yearly_restarted(rows.drop("idx"), signals.AUDITED, keys, config),
         "shifts": wf.timezone_fragility(rows, RULES, keys, config),
         "controls": wf.selection_controls(rows, keys, config),
-        "mc": montecarlo.summary(montecarlo.block_bootstrap(run, by, config), by),
     }
+    drawn = montecarlo.block_bootstrap(run, by, config)
+    observed = montecarlo.worse_than_observed(drawn, bt.metrics(run, by, config), by)
+    out["mc"] = montecarlo.summary(drawn, by).join(observed, by)
     out["verdict"] = verdicts.audit(out["aggregate"], out["costs"], out["years"], out["mc"], out["shifts"], out["controls"], keys, FAMILIES)
     return out
 
@@ -111,31 +113,70 @@ def exploration(bars: DataFrame, annualization: float | None = 8760.0, lags: int
 
 
 def load(spark: SparkSession, path: str, symbol: str, interval: str) -> DataFrame:
-    bars = cleaning.normalised_headers(readers.read_table(spark, path))
+    """Standard bars of a file; of rows with one time the last in the file counts."""
+    bars = cleaning.normalised_headers(cleaning.ingest_order(readers.read_table(spark, path)))
     chosen = cleaning.choose_time_column(bars)
     bars = bars if chosen == "open_time_utc" else bars.drop("open_time_utc").withColumnRenamed(chosen, "open_time_utc")
-    return cleaning.standardize(bars.withColumns({"symbol": F.lit(symbol), "interval": F.lit(interval)}))
+    named = bars.withColumns({"symbol": F.lit(symbol), "interval": F.lit(interval)})
+    return cleaning.standardize(named, sequence=[cleaning.INGEST]).drop(cleaning.INGEST)
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("flow", choices=["eda", "backtest", "lab", "patterns", "audit"])
+    parser.add_argument("flow", choices=["eda", "backtest", "lab", "grid", "patterns", "audit"])
     parser.add_argument("input")
     parser.add_argument("out")
     parser.add_argument("--symbol", default="BTCUSDT")
     parser.add_argument("--interval", default="1h")
-    parser.add_argument("--strategy", default="SMA_CROSS_20_100")
+    parser.add_argument("--strategy", default="SMA_CROSS_20_100", help="a registered name, or SMA_CROSS for the windows given")
+    parser.add_argument("--fast-window", type=int, default=20)
+    parser.add_argument("--slow-window", type=int, default=100)
+    standard = BacktestConfig()
+    parser.add_argument("--initial-capital", type=float, default=standard.initial_capital)
+    parser.add_argument("--commission-rate", type=float, default=standard.commission_rate)
+    parser.add_argument("--slippage-rate", type=float, default=standard.slippage_rate)
+    parser.add_argument("--annualization-factor", type=float, default=standard.annualization_factor)
+    parser.add_argument("--train-ratio", type=float, default=standard.split_ratio)
+    parser.add_argument("--mc-runs", type=int, default=standard.mc_runs)
+    parser.add_argument("--min-trades", type=int, default=standard.min_trades)
+    parser.add_argument("--random-seed", type=int, default=standard.random_seed)
     args = parser.parse_args(argv)
-    spark, config = session(f"research-{args.flow}"), BacktestConfig()
+    spark = session(f"research-{args.flow}")
+    config = BacktestConfig(
+        initial_capital=args.initial_capital,
+        commission_rate=args.commission_rate,
+        slippage_rate=args.slippage_rate,
+        annualization_factor=args.annualization_factor,
+        split_ratio=args.train_ratio,
+        mc_runs=args.mc_runs,
+        min_trades=args.min_trades,
+        random_seed=args.random_seed,
+    )
     bars = load(spark, args.input, args.symbol, args.interval)
     if args.flow == "eda":
         tables = exploration(bars)
     elif args.flow == "backtest":
         by = [*KEYS, "strategy_id"]
-        run = bt.backtest(signals.with_signals(bars, [signals.build(args.strategy)]), by, config)
-        tables = {"metrics": bt.metrics_by_sample(run, by, config), "trades": bt.trades(run, by, config), "equity": run}
+        chosen = signals.sma_strategy(args.fast_window, args.slow_window) if args.strategy == "SMA_CROSS" else signals.build(args.strategy)
+        run = bt.backtest(signals.with_signals(bars, [chosen]), by, config, whole_positions=True)
+        tables = {
+            "metrics": wf.samples_restarted(bars, [chosen], KEYS, config),
+            "buy_hold": bt.trade_metrics(bt.buy_hold_trade(run, by, config), by, "buy_hold"),
+            "trades": bt.trades(run, by, config),
+            "equity": run,
+        }
     elif args.flow == "lab":
         tables = strategy_lab(bars, config)
+    elif args.flow == "grid":
+        wide = grid_lab(bars, signals.variants(), config)
+        best, flags = verdicts.leaderboard(wide, KEYS, config.min_trades), verdicts.overfit_flags(wide, config.min_trades)
+        tables = {
+            "metrics": wide,
+            "leaderboard": best,
+            "overfit_flags": flags,
+            "candidates": verdicts.on_leaderboard(flags, best, [*KEYS, "variant_id"]),
+            "sensitivity": verdicts.parameter_sensitivity(wide, KEYS),
+        }
     elif args.flow == "patterns":
         tables = {"patterns": pattern_discovery(bars)}
     else:

@@ -28,11 +28,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 K = ["symbol", "interval"]
 KS = [*K, "strategy_id"]
 #: Window sizes that fit a month of hours, and seven years of days.
-HOURLY = BacktestConfig(train_bars=240, purge_bars=24, test_bars=72, step_bars=72, mc_runs=200, min_trades=10)
-DAILY = BacktestConfig(train_bars=365, purge_bars=7, test_bars=90, step_bars=90, annualization_factor=365.0, mc_runs=200)
+HOURLY = BacktestConfig(train_bars=240, purge_bars=24, test_bars=72, step_bars=72, mc_runs=500, min_trades=10)
+DAILY = BacktestConfig(train_bars=365, purge_bars=7, test_bars=90, step_bars=90, annualization_factor=365.0, mc_runs=2000)
 DAILY_REGIME = RegimeConfig(trend_window=200, vol_window=30)
 CRISIS = CrisisConfig(min_depth=-0.05)
-SMALL_PATTERNS = PatternConfig(min_samples=20, bootstrap_runs=100)
+SMALL_PATTERNS = PatternConfig(min_samples=20)
 
 
 def out(df: DataFrame, *drop: str) -> DataFrame:
@@ -344,6 +344,43 @@ def metrics_by_sample(spark, d):
     return out(bt.metrics_by_sample(bt.backtest(rows, KS), KS, HOURLY))
 
 
+def _restarted_sql(base: str, label: str, af: float) -> str:
+    keys = f"symbol, {label}, strategy_id"
+    signals_of = AUDIT_SIGNALS.format(src="sl", keys=f"symbol, {label}")
+    return f"{base}, s AS (SELECT {keys}, t, o, sig FROM ({signals_of})), {bt_sql('s', keys)}, {metrics_sql('bt', keys, af)}, {trades_sql('bt', keys)}"
+
+
+@register(
+    "samples_restarted",
+    f"""WITH {_restarted_sql(f"""{H}, nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS k, count(*) OVER (PARTITION BY symbol) AS nn FROM b),
+sl AS (SELECT symbol, t, o, 'full' AS sample FROM nb UNION ALL SELECT symbol, t, o, CASE WHEN k <= floor(nn * CAST(0.7 AS DOUBLE)) THEN 'in_sample' ELSE 'out_of_sample' END FROM nb)""", 'sample', 8760.0)},
+tm AS ({trade_metrics_sql('tr', 'symbol, sample, strategy_id')}) SELECT m.symbol, m.strategy_id, m.sample, {rounded(METRIC_NAMES, 'm.')}, {EXCESS},
+coalesce(strategy_trade_count, 0.0) AS strategy_trade_count, strategy_win_rate, strategy_profit_factor, strategy_expectancy, strategy_avg_trade_return, strategy_avg_bars_held
+FROM m LEFT JOIN tm USING (symbol, strategy_id, sample)""",
+)
+def samples_restarted(spark, d):
+    return out(wf.samples_restarted(hours(spark, d), signals.AUDITED, K, HOURLY))
+
+
+@register(
+    "yearly_restarted",
+    f"""WITH {_restarted_sql(f"{D}, sl AS (SELECT symbol, t, o, CAST(year(t) AS BIGINT) AS year FROM b QUALIFY count(*) OVER (PARTITION BY symbol, year(t)) >= 100)", 'year', 365.0)}
+SELECT symbol, strategy_id, year, {rounded(METRIC_NAMES)}, {EXCESS}, strategy_total_return > benchmark_total_return AS beats_benchmark_total_return, strategy_total_return > 0 AS positive_strategy_return FROM m""",
+)
+def yearly_restarted(spark, d):
+    return out(wf.yearly_restarted(days(spark, d), signals.AUDITED, K, DAILY))
+
+
+@register(
+    "buy_hold_trade",
+    f"WITH {H}, mv AS (SELECT symbol, lead(o) OVER (PARTITION BY symbol ORDER BY t) / o - 1 AS r FROM b), g AS (SELECT symbol, product(1 + r) - 1 AS r, CAST(count(r) AS DOUBLE) AS n FROM mv WHERE r IS NOT NULL GROUP BY symbol) "
+    f"SELECT symbol, CAST(1 AS DOUBLE) AS buy_hold_trade_count, CAST(r > 0 AS DOUBLE) AS buy_hold_win_rate, CASE WHEN r < 0 THEN CAST(0 AS DOUBLE) END AS buy_hold_profit_factor, {R('r', 'buy_hold_expectancy')}, {R('r', 'buy_hold_avg_trade_return')}, n AS buy_hold_avg_bars_held FROM g",
+)
+def buy_hold_trade(spark, d):
+    run = bt.backtest(signals.with_signals(hours(spark, d), signals.BASELINES[:1], K), KS, HOURLY)
+    return out(bt.trade_metrics(bt.buy_hold_trade(run, KS, HOURLY), KS, "buy_hold").drop("strategy_id"))
+
+
 CATALOG_SQL = f"""{H}, rc0 AS (SELECT *, coalesce((h - l) / nullif(c, 0), 0) AS rp, hour(lead(t) {W}) AS nh, isodow(lead(t) {W}) - 1 AS nd FROM b),
 rc AS (SELECT *, coalesce(rp < ({full('quantile_cont(rp, 0.2)', 'rp', 168, 1)}), false) AS low FROM rc0),
 s AS (SELECT symbol, t, o, unnest([
@@ -396,23 +433,19 @@ def grid_metrics(spark, d):
     return out(bt.metrics(bt.backtest(signals.grid_signals(hours(spark, d), signals.variants(), K), by), by))
 
 
-H4_VARIANTS = [v for v in signals.variants() if v.hypothesis_id == "H4"]
-
-
 def _lab(spark, d):
-    return research.grid_lab(hours(spark, d), H4_VARIANTS, HOURLY, K)
+    return research.grid_lab(hours(spark, d), signals.variants(), HOURLY, K)
 
 
 def _lab_sql() -> str:
-    each = ", ".join(f"('{v.variant_id}', CASE WHEN {variant_sql(v)} THEN 1.0 ELSE 0.0 END)" for v in H4_VARIANTS)
-    params = ", ".join(f"('{v.variant_id}', '{v.params_json}')" for v in H4_VARIANTS)
-    by = "symbol, variant_id"
+    params = ", ".join(f"('{v.variant_id}', '{v.params_json}')" for v in signals.variants())
+    by = "symbol, variant_id, hypothesis_id"
     pivot = ", ".join(
         f"max({c}) FILTER (WHERE sample = '{s}') AS {s}_{c}"
         for s in ("full", "in_sample", "out_of_sample")
         for c in ("strategy_total_return", "strategy_sharpe", "strategy_calmar", "strategy_max_drawdown", "benchmark_total_return", "trade_count")
     )
-    return f"""{H}, {RESEARCH_SQL}, z AS (SELECT symbol, t, o, unnest([{each}]) AS u FROM rf), s AS (SELECT symbol, t, o, u[1] AS variant_id, u[2] AS sig FROM z),
+    return f"""{_grid_sql()},
 {bt_sql('s', by)}, n0 AS (SELECT *, count(*) OVER (PARTITION BY {by}) AS nn FROM bt),
 sa AS (SELECT {by}, t, o, pos, sr, mr, unnest(['full', CASE WHEN idx < floor(nn * CAST(0.7 AS DOUBLE)) THEN 'in_sample' ELSE 'out_of_sample' END]) AS sample FROM n0),
 {eq_sql('sa', by + ', sample', 'sb')}, {metrics_sql('sb', by + ', sample', 8760.0)}, {trades_sql('sb', by + ', sample')},
@@ -446,20 +479,35 @@ def overfit_flags(spark, d):
 @register(
     "leaderboard",
     f"""WITH {_lab_sql()}, en AS (SELECT *, coalesce(full_trade_count, 0) >= 5 AS enough, max(coalesce(full_trade_count, 0) >= 5) OVER (PARTITION BY symbol) AS any_enough FROM pv),
-sc AS (SELECT symbol, variant_id, CASE WHEN any_enough THEN coalesce(in_sample_strategy_sharpe, -999.0) + coalesce(in_sample_strategy_calmar, -999.0) * 0.25 + coalesce(in_sample_strategy_total_return, -999.0) * 0.10
-  ELSE coalesce(in_sample_strategy_sharpe, -999.0) END AS score FROM en WHERE enough OR NOT any_enough),
-rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, variant_id) AS rank FROM sc)
-SELECT symbol, 'H4' AS hypothesis_id, variant_id, {R('score', 'selection_score')}, rank FROM rk WHERE rank <= 3""",
+sc AS (SELECT symbol, hypothesis_id, variant_id, CASE WHEN any_enough THEN coalesce(in_sample_strategy_sharpe, -999.0) + coalesce(in_sample_strategy_calmar, -999.0) * 0.25 + coalesce(in_sample_strategy_total_return, -999.0) * 0.10
+  ELSE coalesce(in_sample_strategy_sharpe, -999.0) END AS raw_score, CAST(printf('%.9e', CAST(raw_score AS DOUBLE)) AS DOUBLE) AS score FROM en WHERE enough OR NOT any_enough),
+rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, hypothesis_id ORDER BY score DESC, variant_id) AS rank FROM sc)
+SELECT symbol, hypothesis_id, variant_id, {R('score', 'selection_score')}, rank FROM rk WHERE rank <= 3""",
 )
 def leaderboard(spark, d):
     rows = verdicts.leaderboard(_lab(spark, d), K, HOURLY.min_trades)
     return out(rows.select("symbol", "hypothesis_id", "variant_id", "selection_score", "rank"))
 
 
+@register(
+    "leaderboard_flags",
+    f"""WITH {_lab_sql()}, en AS (SELECT *, coalesce(full_trade_count, 0) >= 5 AS enough, max(coalesce(full_trade_count, 0) >= 5) OVER (PARTITION BY symbol) AS any_enough FROM pv WHERE symbol = 'click'),
+sc AS (SELECT *, coalesce(in_sample_strategy_sharpe, -999.0) + CASE WHEN any_enough THEN coalesce(in_sample_strategy_calmar, -999.0) * 0.25 + coalesce(in_sample_strategy_total_return, -999.0) * 0.10 ELSE 0 END AS raw_score, CAST(printf('%.9e', CAST(raw_score AS DOUBLE)) AS DOUBLE) AS score FROM en WHERE enough OR NOT any_enough)
+SELECT symbol, hypothesis_id, variant_id, coalesce(out_of_sample_strategy_total_return < 0, false) OR coalesce(out_of_sample_strategy_sharpe < 0, false) AS oos_bad
+FROM sc QUALIFY row_number() OVER (PARTITION BY symbol, hypothesis_id ORDER BY score DESC, variant_id) <= 3""",
+)
+def leaderboard_flags(spark, d):
+    """The flags of the variants on the leaderboard, of one symbol's lab."""
+    wide = research.grid_lab(hours(spark, d).where("symbol = 'click'"), signals.variants(), HOURLY, K)
+    best = verdicts.leaderboard(wide, K, HOURLY.min_trades)
+    found = verdicts.on_leaderboard(verdicts.overfit_flags(wide, HOURLY.min_trades), best, [*K, "variant_id"])
+    return out(found.select("symbol", "hypothesis_id", "variant_id", "oos_bad"))
+
+
 @register(
     "parameter_sensitivity",
     f"""WITH {_lab_sql()}, ex AS (SELECT pv.*, unnest(json_keys(params_json)) AS param_name, params_json FROM pv JOIN pj USING (variant_id))
-SELECT symbol, 'H4' AS hypothesis_id, param_name, json_extract_string(params_json, '$.' || param_name) AS param_value, count(*) AS variants,
+SELECT symbol, hypothesis_id, param_name, json_extract_string(params_json, '$.' || param_name) AS param_value, count(*) AS variants,
   {R('median(out_of_sample_strategy_total_return)', 'median_oos_total_return')}, {R('median(out_of_sample_strategy_sharpe)', 'median_oos_sharpe')},
   {R('median(out_of_sample_strategy_max_drawdown)', 'median_oos_max_drawdown')}, {R('avg(CAST(coalesce(out_of_sample_strategy_total_return > 0, false) AS INT))', 'positive_oos_rate')}
 FROM ex GROUP BY ALL""",
@@ -1032,57 +1080,71 @@ def pattern_evidence(spark, d):
 KLINES_SQL = f"""{H}, {ENRICHED}, klines AS (SELECT symbol, '1h' AS interval, t AS open_time_utc, o AS open, h AS high, l AS low, c AS close, r AS open_to_open_return, vol AS rolling_vol_24h, nwd AS next_bar_weekday, regime AS market_regime FROM x)"""
 
 
-def _duck(sql: str) -> str:
-    import re
-
-    sql = sql.replace("to_date(open_time_utc)", "CAST(open_time_utc AS DATE)").replace("interval,", '"interval",')
-    sql = sql.replace("THEN 'Wednesday'\n ", "THEN 'Wednesday' ")
-    return re.sub(r"round\((.*?), (\d)\) AS", r"round(\1, \2) + 0.0 AS", sql)
-
-
 def _klines(spark, d):
     return features.transform(hours(spark, d), K)
 
 
-def _view(spark, d, name, **args):
-    views.register(spark, klines=_klines(spark, d))
-    return views.query(spark, name, **args) if name in views.QUERIES else spark.table(name)
+def pct(expr: str, name: str, digits: int = 4) -> str:
+    return f"round(100 * ({expr}), {digits}) + 0.0 AS {name}"
+
+
+DAY_LIST = str(list(scalars.DAYS))
+RETURN_STATS = ", ".join(pct(f"{f}(open_to_open_return)", f"{n}_return_pct") for n, f in (("avg", "avg"), ("stddev", "stddev_samp"), ("min", "min"), ("max", "max")))
+REGIME_SQL = f"""SELECT symbol, market_regime, CAST(next_bar_weekday AS BIGINT) AS next_bar_weekday, {DAY_LIST}[next_bar_weekday + 1] AS weekday_name, count(open_to_open_return) AS bar_count, {RETURN_STATS}
+FROM klines GROUP BY symbol, market_regime, next_bar_weekday HAVING count(open_to_open_return) > 0 AND market_regime IS NOT NULL AND next_bar_weekday IS NOT NULL"""
 
 
 @register(
     "vw_daily_returns",
-    f"WITH {KLINES_SQL} SELECT symbol, trade_date, {rounded('daily_return avg_volatility day_high day_low')}, market_regime, bars_count FROM ({_duck(views.VIEWS['vw_daily_returns'])})",
+    f"WITH {KLINES_SQL} SELECT symbol, CAST(date_trunc('day', open_time_utc) AS DATE) AS trade_date, {R('sum(open_to_open_return)', 'daily_return')}, {R('avg(rolling_vol_24h)', 'avg_volatility')}, "
+    f"{R('max(high)', 'day_high')}, {R('min(low)', 'day_low')}, max(market_regime) AS market_regime, count(*) AS bars_count FROM (FROM klines WHERE open_to_open_return = open_to_open_return) GROUP BY ALL",
 )
 def vw_daily_returns(spark, d):
-    return out(_view(spark, d, "vw_daily_returns"))
+    return out(views.daily_returns(_klines(spark, d)))
 
 
-@register("vw_regime_stats", f"WITH {KLINES_SQL} {_duck(views.VIEWS['vw_regime_stats'])}")
+@register("vw_regime_stats", f"WITH {KLINES_SQL} {REGIME_SQL}")
 def vw_regime_stats(spark, d):
-    return out(_view(spark, d, "vw_regime_stats"))
+    views.register(spark, klines=_klines(spark, d))
+    return out(spark.table("vw_regime_stats"))
 
 
-@register("q_availability", f"WITH {KLINES_SQL} SELECT * EXCLUDE (\"interval\") FROM ({_duck(views.QUERIES['availability'])})")
+@register(
+    "q_availability",
+    f"WITH {KLINES_SQL}, n AS (SELECT symbol, market_regime, count(*) AS bars, min(open_time_utc) AS a, max(open_time_utc) AS b FROM klines GROUP BY ALL) SELECT symbol, CAST(sum(bars) AS BIGINT) AS total_bars, "
+    "CAST(min(a) AS DATE) AS first_date, CAST(max(b) AS DATE) AS last_date, "
+    + ", ".join(f"CAST(coalesce(sum(CASE market_regime WHEN '{x}' THEN bars END), 0) AS BIGINT) AS {x.lower()}_bars" for x in ("Bull", "Bear", "Lateral"))
+    + " FROM n GROUP BY symbol",
+)
 def q_availability(spark, d):
-    return out(_view(spark, d, "availability"))
+    views.register(spark, klines=_klines(spark, d))
+    return out(views.query(spark, "availability"))
 
 
-@register("q_weekday_returns", f"WITH {KLINES_SQL} {_duck(views.QUERIES['weekday_returns'])}")
+@register(
+    "q_weekday_returns",
+    f"WITH {KLINES_SQL}, v AS (SELECT symbol, CASE WHEN next_bar_weekday IS NOT NULL THEN next_bar_weekday::BIGINT::VARCHAR || '-' || {DAY_LIST}[next_bar_weekday + 1] END AS weekday, open_to_open_return AS r FROM klines) "
+    f"SELECT symbol, weekday, count(r) AS bars, {pct('avg(r)', 'avg_return_pct')}, {pct('sqrt(var_samp(r))', 'stddev_pct')} FROM v WHERE r IS NOT NULL GROUP BY symbol, weekday",
+)
 def q_weekday_returns(spark, d):
-    return out(_view(spark, d, "weekday_returns"))
+    return out(views.weekday_returns(_klines(spark, d)))
 
 
 @register(
     "q_worst_days_by_regime",
-    f"WITH {KLINES_SQL}, vw_regime_stats AS ({_duck(views.VIEWS['vw_regime_stats'])}) {views.QUERIES['worst_days_by_regime'].replace(':symbol', chr(39) + 'click' + chr(39))}",
+    f"WITH {KLINES_SQL}, s AS ({REGIME_SQL}) SELECT market_regime, weekday_name, avg_return_pct, bar_count FROM s WHERE symbol = 'click'",
 )
 def q_worst_days_by_regime(spark, d):
-    return out(_view(spark, d, "worst_days_by_regime", symbol="click"))
+    return out(views.worst_days_by_regime(_klines(spark, d), "click"))
 
 
-@register("q_return_outliers", f"WITH {KLINES_SQL} SELECT symbol, open_time_utc, {rounded('open close return_pct')}, market_regime FROM ({_duck(views.QUERIES['return_outliers'])})")
+@register(
+    "q_return_outliers",
+    f"WITH {KLINES_SQL}, f AS (SELECT *, row_number() OVER (ORDER BY greatest(open_to_open_return, -open_to_open_return) DESC, symbol, open_time_utc) AS place FROM klines WHERE open_to_open_return NOT BETWEEN -0.10 AND 0.10) "
+    f"SELECT symbol, open_time_utc, {rounded('open close')}, {pct('open_to_open_return', 'return_pct')}, market_regime FROM f WHERE place <= 20",
+)
 def q_return_outliers(spark, d):
-    return out(_view(spark, d, "return_outliers"))
+    return out(views.return_outliers(_klines(spark, d)))
 
 
 KPI_INNER = f"""{CATALOG_SQL}, {bt_sql('s', 'symbol, strategy_id')}, {metrics_sql('bt', 'symbol, strategy_id', 8760.0)},
@@ -1120,28 +1182,27 @@ def results_table(spark, d):
     return now.unionByName(now.withColumns({"run_date": F.lit("2024-01-01").cast("date"), "total_return": F.col("total_return") - 1}))
 
 
-KPI_COLUMNS = "symbol, strategy_name, run_date, " + rounded("total_return_pct bh_return_pct excess_return_pct sharpe_ratio max_drawdown_pct cagr_pct win_rate profit_factor") + ", total_trades, " + rounded("exposure_pct beat_bh_months_pct mc_percentile_pct")
+KPI_PCT = {"total_return": "total_return_pct", "bh_return": "bh_return_pct", "excess_return": "excess_return_pct", "max_drawdown": "max_drawdown_pct", "cagr": "cagr_pct", "pos_pct": "exposure_pct",
+           "beat_pct": "beat_bh_months_pct", "mc_percentile": "mc_percentile_pct"}
+KPI_SQL = f"""{KPI_INNER}, rk AS (SELECT *, rank() OVER (PARTITION BY symbol, strategy_name ORDER BY run_date DESC) AS place FROM backtest_results),
+kpi AS (SELECT symbol, strategy_name, run_date, {", ".join(pct(old, new, 2) for old, new in KPI_PCT.items())}, round(sharpe_ratio, 2) + 0.0 AS sharpe_ratio, {rounded('win_rate profit_factor')}, total_trades FROM rk WHERE place = 1)"""
 
 
-@register("vw_strategy_kpi", f"WITH {KPI_INNER} SELECT {KPI_COLUMNS} FROM ({views.VIEWS['vw_strategy_kpi']})")
+@register("vw_strategy_kpi", f"WITH {KPI_SQL} SELECT * FROM kpi")
 def vw_strategy_kpi(spark, d):
     views.register(spark, backtest_results=results_table(spark, d))
     return out(spark.table("vw_strategy_kpi"))
 
 
-@register(
-    "q_strategy_comparison",
-    f"WITH {KPI_INNER}, vw_strategy_kpi AS ({views.VIEWS['vw_strategy_kpi']}) SELECT symbol, strategy_name, {rounded('total_return_pct sharpe_ratio max_drawdown_pct exposure_pct mc_percentile_pct')} FROM vw_strategy_kpi",
-)
+@register("q_strategy_comparison", f"WITH {KPI_SQL} SELECT symbol, strategy_name, total_return_pct, sharpe_ratio, max_drawdown_pct, exposure_pct, mc_percentile_pct FROM kpi")
 def q_strategy_comparison(spark, d):
-    views.register(spark, backtest_results=results_table(spark, d))
-    return out(views.query(spark, "strategy_comparison"))
+    return out(views.strategy_comparison(results_table(spark, d)))
 
 
 @register(
     "bi_measures",
-    f"WITH {KPI_INNER}, vw_strategy_kpi AS ({views.VIEWS['vw_strategy_kpi']}) SELECT symbol, {R('max(total_return_pct)', 'best_return_pct')}, {R('avg(sharpe_ratio)', 'avg_sharpe')}, "
-    f"{R("max(CASE WHEN strategy_name = 'S2_H2_WEDNESDAY_LONG' THEN total_return_pct END)", 'strategy_return_pct')} FROM vw_strategy_kpi GROUP BY symbol",
+    f"WITH {KPI_SQL}, own AS (SELECT symbol, total_return_pct AS mine FROM kpi WHERE strategy_name = 'S2_H2_WEDNESDAY_LONG') SELECT symbol, {R('max(total_return_pct)', 'best_return_pct')}, "
+    f"{R('sum(sharpe_ratio) / count(sharpe_ratio)', 'avg_sharpe')}, {R('max(mine)', 'strategy_return_pct')} FROM kpi LEFT JOIN own USING (symbol) GROUP BY symbol",
 )
 def bi_measures(spark, d):
     views.register(spark, backtest_results=results_table(spark, d))
@@ -1156,8 +1217,7 @@ QUALITY_INNER = _quality_sql(BAD, None)
     f"SELECT symbol, check_name, severity, TIMESTAMP '2024-02-01' AS last_run, CAST(sum(total_rows) AS BIGINT) AS total_rows, CAST(sum(failed_rows) AS BIGINT) AS total_failed, round(avg(pass_rate) * 100, 2) + 0.0 AS avg_pass_rate_pct FROM ({QUALITY_INNER}) GROUP BY ALL",
 )
 def vw_data_quality_summary(spark, d):
-    views.register(spark, data_quality=quality_checks_bad(spark, d).withColumn("run_at", F.lit("2024-02-01").cast("timestamp")))
-    return out(views.query(spark, "quality_overview"))
+    return out(views.quality_overview(quality_checks_bad(spark, d).withColumn("run_at", F.lit("2024-02-01").cast("timestamp"))))
 
 
 @register(
@@ -1220,12 +1280,20 @@ def exposure_benchmark(spark, d):
     return out(montecarlo.exposure_benchmark(montecarlo.exposure_returns(hours(spark, d), K), K))
 
 
+@register("verdict_exposure")
+def verdict_exposure(spark, d):
+    returns = montecarlo.exposure_returns(hours(spark, d), K)
+    found = montecarlo.exposure_benchmark(returns, K)
+    runs = montecarlo.exposure_runs(returns, found, K).select(*K, "rule", "mc_percentile")
+    return out(verdicts.exposure_verdict(found.join(runs, [*K, "rule"])))
+
+
 @register(
-    "verdict_exposure",
+    "verdict_exposure_by_rank",
     f"""WITH {_exposure_sql()}, vr AS (SELECT rule, count(*) AS assets, count(*) FILTER (WHERE tr - fb > 0) AS beat, avg(tr - fb) AS me, median((7 - day_rank) / 7.0) AS mp FROM eb GROUP BY rule)
 SELECT rule, assets, beat, {R('me', 'mean_excess')}, {R('mp', 'median_percentile')}, CASE WHEN beat >= 3 AND mp > 0.7 THEN 'GENUINE_EDGE' WHEN beat >= 2 AND mp > 0.5 THEN 'PARTIAL_EDGE' ELSE 'EXPOSURE_ARTEFACT' END AS verdict FROM vr""",
 )
-def verdict_exposure(spark, d):
+def verdict_exposure_by_rank(spark, d):
     """The verdict rule over a percentile without chance: the share of weekdays the rule's day beats."""
     found = montecarlo.exposure_benchmark(montecarlo.exposure_returns(hours(spark, d), K), K)
     return out(verdicts.exposure_verdict(found.withColumn("rank_percentile", (7 - F.col("day_rank")) / 7.0), "rank_percentile"))
@@ -1240,7 +1308,7 @@ def mc_block_bootstrap(spark, d):
 @register("mc_exposure")
 def mc_exposure(spark, d):
     returns = montecarlo.exposure_returns(hours(spark, d), K)
-    return out(montecarlo.exposure_runs(returns, montecarlo.exposure_benchmark(returns, K), K, runs=500))
+    return out(montecarlo.exposure_runs(returns, montecarlo.exposure_benchmark(returns, K), K))
 
 
 @register("verdict_research_status")

@@ -101,9 +101,29 @@ def deduplicated(df: DataFrame, key: list[str], sequence: list[str], keep: str =
     return rows.select(*key, "_row.*").select(*df.columns)
 
 
+#: The place of a row in its files, in their order.
+INGEST = "_ingest"
+
+
 def ingest_order(df: DataFrame) -> DataFrame:
-    """``df``, straight from files, with their order: _file and _row_index."""
-    return df.withColumns({"_file": F.col("_metadata.file_path"), "_row_index": F.col("_metadata.row_index")})
+    """``df``, straight from files, with the order of its rows as one long, ``INGEST``; null where it comes from no file.
+
+    Files count by name.  Inside a Parquet file rows have numbers; in others a
+    row follows the start of its part, which no part holds more rows than bytes of.
+    """
+    files = sorted(df.inputFiles())
+    if not files:
+        return df.withColumn(INGEST, F.lit(None).cast("long"))
+    if "parquet" in files[0].rsplit("/", 1)[-1]:
+        place = F.col("_metadata.row_index")
+    else:
+        place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    if len(files) == 1:
+        return df.withColumn(INGEST, place)
+    spark = df.sparkSession
+    numbers = spark.createDataFrame([(f, k << 43) for k, f in enumerate(files)], "_file string, _number long")
+    rows = df.withColumns({"_file": F.col("_metadata.file_path"), INGEST: place})
+    return rows.join(numbers, "_file", "left").withColumn(INGEST, F.col(INGEST) + F.col("_number")).drop("_file", "_number")
 
 
 def standardize(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RAW_BAR, REQUIRED
+from .cleaning import ingest_order
 
 log = logging.getLogger(__name__)
 
@@ -42,8 +43,11 @@ def missing_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> list
     return [c for c in required if c not in have]
 
 
-def load_symbol(spark: SparkSession, root: str, symbol: str, interval: str = "1h") -> DataFrame:
-    """The newest file of a symbol, times as UTC; an empty table if there is none or columns lack."""
+def load_symbol(spark: SparkSession, root: str, symbol: str, interval: str = "1h", ordered: bool = False) -> DataFrame:
+    """The newest file of a symbol, times as UTC; an empty table if there is none or columns lack.
+
+    ``ordered``: with the rows' place in the file.
+    """
     path = find_newest(spark, root, symbol, interval)
     empty = spark.createDataFrame([], RAW_BAR)
     if path is None:
@@ -53,16 +57,18 @@ def load_symbol(spark: SparkSession, root: str, symbol: str, interval: str = "1h
     if lacking := missing_columns(df):
         log.error("%s lacks %s", path, lacking)
         return empty
+    if ordered:
+        df = ingest_order(df)
     df = df.withColumns({c: F.col(c).cast("timestamp") for c in ("open_time_utc", "close_time_utc") if c in df.columns})
     return df.withColumns({"symbol": F.lit(symbol), "interval": F.lit(interval)})
 
 
-def load_symbols(spark: SparkSession, root: str, symbols: list[str], interval: str = "1h") -> DataFrame:
+def load_symbols(spark: SparkSession, root: str, symbols: list[str], interval: str = "1h", ordered: bool = False) -> DataFrame:
     """All symbols in one table; those without a usable file are left out with a warning."""
     out = None
     for symbol in symbols:
         if find_newest(spark, root, symbol, interval):
-            one = load_symbol(spark, root, symbol, interval)
+            one = load_symbol(spark, root, symbol, interval, ordered)
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         else:
             log.warning("skipping %s", symbol)

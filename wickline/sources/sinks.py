@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,18 +61,23 @@ def merged(old: DataFrame | None, new: DataFrame, key: tuple[str, ...]) -> DataF
 
 
 def upsert(df: DataFrame, path: str, key: tuple[str, ...] = KLINES_KEY, partition_by: tuple[str, ...] = ("symbol", "interval")) -> int:
-    """Insert or replace rows by key; touches only the partitions of ``df``.  Returns its rows."""
+    """Insert or replace rows by key; touches only the partitions of ``df``.  Returns how many it wrote.
+
+    ``df`` is computed once, into a staging folder of its own.
+    """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}_staging"
+    staging = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
+    df = df.withColumn("_new", F.lit(True))
     old = None
     if exists(spark, path):
         touched = df.select(*partition_by).distinct()
         old = spark.read.parquet(path).join(touched, list(partition_by), "left_semi")
     merged(old, df, key).write.mode("overwrite").partitionBy(*partition_by).parquet(staging)
     staged = spark.read.parquet(staging)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    rows = staged.where("_new").count()
+    staged.drop("_new").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
     delete(spark, staging)
-    return df.count()
+    return rows
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("symbol", "interval")) -> None:
