@@ -26,7 +26,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import accumulate
+from operator import sub
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -39,8 +42,8 @@ from .common import table, with_columns
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Pieces, and prefixes of words, that a worker keeps.
-MEMO_PIECES, MEMO_PREFIXES = 500_000, 400_000
+#: Pieces, words and pairs of tokens that a worker keeps.
+MEMO_PIECES, MEMO_WORDS, MEMO_PAIRS = 1_500_000, 300_000, 1_000_000
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("prefix_steps", T.BinaryType())]
 
@@ -70,28 +73,33 @@ class Prefixes:
         self.rank = {pair: k for k, pair in enumerate(pairs)}
         # A merged token's parts and rank; letters have none.
         self.parts = {a + b: (a, b, k) for k, (a, b) in reversed(list(enumerate(pairs)))}
-        self.longest = max(map(len, model["vocab"]))
         self.letters = byte_letters()
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[int, bool] = {}
         made = dict.fromkeys([*self.letters, *[c + self.end for c in self.letters]], True)
         for a, b in pairs:  # parts come before what they make
             made[a + b] = made.get(a, False) and made.get(b, False) and self._apart(a, b, self.rank[a, b])
-        #: Tokens that the merges make of their own string: inside a word, and at its end without the mark of it.
-        self.inside = {t for t, own in made.items() if own and not t.endswith(self.end)}
-        self.ending = {t[: -len(self.end)] for t, own in made.items() if own and t.endswith(self.end)}
-        #: byte-level prefix of a word -> (its last token, tokens, tokens as a word of its own).
-        self.prefixes: dict[str, tuple[str, int, int]] = {}
+        # Tokens that the merges make of their own string: inside a word, and at its end without the mark of it.
+        own = [t for t, itself in made.items() if itself]
+        self.names = own
+        self.inside, self.ending = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for number, token in enumerate(own):
+            if token.endswith(self.end):
+                core = token[: -len(self.end)]
+                self.ending.add_word(core, (len(core), number))
+            else:
+                self.inside.add_word(token, (len(token), number))
+        self.inside.make_automaton()
+        self.ending.make_automaton()
+        self.known: dict[str, list[int]] = {}
         self.words = regex.compile(cut[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]"))
         special = [t["content"] for t in file["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def apart(self, a: str, b: str) -> bool:
-        """Whether the tokens ``a`` and ``b`` stay what they are next to each other."""
-        known = self.pair.get((a, b))
-        if known is None:
-            if len(self.pair) > 2_000_000:
-                self.pair.clear()
-            known = self.pair[a, b] = self._apart(a, b, len(self.rank))
+    def apart(self, a: int, b: int) -> bool:
+        """Whether the tokens of these numbers stay what they are next to each other."""
+        if len(self.pair) > MEMO_PAIRS:
+            self.pair.clear()
+        known = self.pair[a << 32 | b] = self._apart(self.names[a], self.names[b], len(self.rank))
         return known
 
     def _apart(self, a: str, b: str, limit: int) -> bool:
@@ -115,41 +123,44 @@ class Prefixes:
 
     def _word(self, word: str) -> list[int]:
         """Tokens of each prefix of one word, by characters."""
+        known = self.known.get(word)
+        if known is not None:
+            return known
         if word.isascii() and word.isprintable():
             s, ends = word, None
         else:
             raw = [c.encode() for c in word]
-            s, ends = "".join([self.letters[b] for r in raw for b in r]), np.cumsum([len(r) for r in raw]).tolist()
-        prefixes, pair = self.prefixes, self.pair
-        if len(prefixes) + len(s) > MEMO_PREFIXES:
-            prefixes.clear()
-        inside, ending, end, longest = self.inside, self.ending, self.end, self.longest
-        last, count, whole, n = [""], [0], [], len(s)
-        # A prefix's key is its own string; in long words, which share few, only the first ones are kept.
-        for i in range(1, n + 1):
-            known = prefixes.get(s[:i]) if i <= 32 else None
-            if known is None:
-                least = i - longest if i > longest else 0
-                for k in range(least, i):  # the longest token first
-                    t = s[k:i]
-                    if t in inside:
-                        before = last[k]
-                        if not k or pair.get((before, t)) or ((before, t) not in pair and self.apart(before, t)):
-                            token, tokens = t, count[k] + 1
-                            break
-                for k in range(least, i):
-                    t = s[k:i]
-                    if t in ending:
-                        before, t = last[k], t + end
-                        if not k or pair.get((before, t)) or ((before, t) not in pair and self.apart(before, t)):
-                            known = (token, tokens, count[k] + 1)
-                            break
-                if i <= 32:
-                    prefixes[s[:i]] = known
-            last.append(known[0])
-            count.append(known[1])
-            whole.append(known[2])
-        return whole if ends is None else [whole[i - 1] for i in ends]
+            s, ends = "".join([self.letters[b] for r in raw for b in r]), list(accumulate(map(len, raw)))
+        n, pair = len(s), self.pair
+        last, count, whole = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        # The automata give the tokens that end at each place, places in order.
+        for end, (length, token) in self.inside.iter(s):
+            if not count[end + 1]:
+                at = end + 1 - length
+                if at:
+                    apart = pair.get(last[at] << 32 | token)
+                    if apart is None:
+                        apart = self.apart(last[at], token)
+                    if not apart:
+                        continue
+                last[end + 1] = token
+                count[end + 1] = count[at] + 1
+        for end, (length, token) in self.ending.iter(s):
+            if not whole[end + 1]:
+                at = end + 1 - length
+                if at:
+                    apart = pair.get(last[at] << 32 | token)
+                    if apart is None:
+                        apart = self.apart(last[at], token)
+                    if not apart:
+                        continue
+                whole[end + 1] = count[at] + 1
+        out = whole[1:] if ends is None else [whole[i] for i in ends]
+        if len(word) <= 32:  # long words seldom come again
+            if len(self.known) >= MEMO_WORDS:
+                self.known.clear()
+            self.known[word] = out
+        return out
 
     def _text(self, text: str) -> list[int]:
         """Tokens of each prefix of a normalised text."""
@@ -172,8 +183,9 @@ class Prefixes:
         if not unicodedata.is_normalized("NFC", text):
             return self._composed(text)
         lower = [c.lower() for c in text]
-        counts = [0, *self._text("".join(lower))]
-        return [counts[k] for k in np.cumsum([len(c) for c in lower]).tolist()]
+        joined = "".join(lower)
+        counts = self._word(joined) if joined.isalpha() else self._text(joined)
+        return counts if len(joined) == len(text) else [counts[k - 1] for k in accumulate(map(len, lower))]
 
     def _composed(self, text: str) -> list[int]:
         """As ``_plain``, for texts with characters that compose: a prefix may end before the mark that joins them.
@@ -195,6 +207,12 @@ class Prefixes:
         """The steps of a piece's prefixes, as signed bytes."""
         if not piece:
             return b""
+        if piece.isascii():
+            if piece.isalpha():
+                return _steps(self._word(piece.lower()))
+            if piece[:-1].isalpha() and not piece[-1].isalnum() and piece[-1].isprintable():  # a word and one mark
+                word, mark = self._word(piece[:-1].lower()), self._word(piece[-1])
+                return _steps(word) + bytes(mark)
         counts, at, done = [], 0, 0
         for found in self.special.finditer(piece) if self.special else ():
             # Until a special string is whole it is text like any other.
@@ -206,10 +224,15 @@ class Prefixes:
             at = found.end()
         if at < len(piece):
             counts += [done + c for c in self._plain(piece[at:])]
-        steps = [after - before for before, after in zip([0, *counts], counts)]
-        if max(steps) > 127 or min(steps) < -128:
-            raise ValueError("a step of a prefix count beyond a signed byte")
-        return bytes([x & 255 for x in steps])
+        return _steps(counts)
+
+
+def _steps(counts: list[int]) -> bytes:
+    """The step from each count to the next, from 0 on, as signed bytes."""
+    steps = list(map(sub, counts, [0, *counts]))
+    if max(steps) > 127 or min(steps) < -128:
+        raise ValueError("a step of a prefix count beyond a signed byte")
+    return bytes([x & 255 for x in steps])
 
 
 class PieceMemo:
