@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hidden, materialize, slices, table, utf8, with_columns
+from .common import give_back, hidden, materialize, slices, table, utf8, with_columns
 from .components import connected
 from .repeats import Words
 
@@ -53,6 +53,8 @@ GROUP = 16
 HOT_PART, HOT_COUNT, HOT_KEYS = 16, 4, 500_000
 #: Bins of the histogram that bounds what two sets share, and bits of a shingle that find candidates.
 BINS, KEY_BITS = 256, 48
+#: Words whose hashes a worker keeps.
+SET_WORDS = 100_000
 #: Dropped rows up to which their numbers are broadcast, so that texts stay where they are.
 MOST_DROPPED = 2_000_000
 
@@ -285,6 +287,7 @@ class ShingleSets:
 
     def __init__(self, size: int):
         self.size, self.words = size, Words(size, size)
+        self.words.MEMO = SET_WORDS
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The set of each text, its ASCII letters lower-cased; a text of fewer words is one shingle, an empty one none."""
@@ -319,6 +322,8 @@ def hot_shingles(rows: DataFrame, row: str, size: int) -> tuple[np.ndarray, np.n
         for batch in slices(batches, 1 << 20):
             found = sets(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
+        del sets
+        give_back()
 
     part = rows.where(F.col(row) % HOT_PART == 0).select("text").mapInArrow(run, "key long")
     counts = part.groupBy("key").count().where(F.col("count") >= HOT_COUNT)
@@ -387,6 +392,7 @@ def shared_posts(posts: DataFrame) -> DataFrame:
             rest = [x[cut:] for x in now]
             yield done([x[:cut] for x in now])
         yield done(rest)
+        give_back()
 
     return posts.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, POSTS)
 
@@ -443,6 +449,7 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
             rest = [x[cut:] for x in held]
             yield done(*[x[:cut] for x in held])
         yield done(*rest)
+        give_back()
 
     dealt = posts.select("key", "comp", "n", "at", "id").repartition("key").sortWithinPartitions("key", "n", "id")
     return dealt.mapInArrow(run, schema).distinct()
@@ -467,6 +474,7 @@ def possible_pairs(pairs: DataFrame, heads: DataFrame) -> DataFrame:
             total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
             good = pa.array(full | near_by_size(most, total))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
+        give_back()
 
     sides = [heads.select(F.col("head").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}")) for c in ("a", "b")]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(run, PAIRS)
@@ -487,6 +495,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x0, y0 = x1, y1
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
+        give_back()
 
     sides = [sets.select(F.col("id").alias(c), F.col("members").alias(f"members_{c}")) for c in ("a", "b")]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "members_a", "members_b").mapInArrow(run, PAIRS)

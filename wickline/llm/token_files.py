@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import fresh_path, table, with_columns
+from .common import fresh_path, give_back, table, with_columns
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text for a shard; its file is smaller.
 SHARD_BYTES = 16 << 20
 MEMO_PIECES = 500_000
+#: In the pipeline workers also hold what earlier stages left, so fewer.
+STAGE_PIECES = 150_000
 
 _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -73,13 +75,13 @@ def unframe(data, at: int, verify: bool = True) -> tuple[int | None, np.ndarray,
     return None if flags & 1 else doc_id, ids, end + 5
 
 
-def _memo(path: str) -> tuple[tokens.IdMemo, bool]:
+def _memo(path: str, pieces: int = MEMO_PIECES) -> tuple[tokens.IdMemo, bool]:
     def make():
         tokenizer = tokens.load(path)
         wide = tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        return tokens.IdMemo(tokenizer, np.dtype("<u4" if wide else "<u2"), MEMO_PIECES), wide
+        return tokens.IdMemo(tokenizer, np.dtype("<u4" if wide else "<u2"), pieces), wide
 
-    return tokens.per_worker(("ids", path), make)
+    return tokens.per_worker(("ids", path, pieces), make)
 
 
 def encode(texts: list[str], memo: tokens.IdMemo) -> list[bytes]:
@@ -97,7 +99,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return found if found < 1 << 55 else 0
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, memo_pieces: int = MEMO_PIECES) -> None:
     """Write the shards under ``path/shards`` and then ``path/index``.
 
     Range partitions of the ids become shards: long texts or a hot source
@@ -110,7 +112,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     ordered = rows.repartitionByRange(min(n, 100_000), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def factory():
-        memo, wide = _memo(tokenizer_path)
+        memo, wide = _memo(tokenizer_path, memo_pieces)
         end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
 
         def make(ids: pa.Array, texts: pa.Array) -> list:
@@ -122,7 +124,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
         return make
 
     framed = with_columns(ordered, ["doc_id", "text"], [T.StructField("value", T.BinaryType())], factory, keep=[])
-    framed.select(F.col("value").cast("string").alias("value")).write.text(f"{path}/shards")
+    # Offsets need the bytes as they are, whatever the session compresses or ends lines with.
+    framed.select(F.col("value").cast("string").alias("value")).write.options(compression="none", lineSep="\n").text(f"{path}/shards")
     _records(spark, path, verify=False).select("shard", "path", "offset", "length", "doc_id", "n_tokens", "first").write.parquet(f"{path}/index")
 
 
@@ -169,6 +172,8 @@ def _records(spark: SparkSession, path: str, verify: bool, with_ids: bool = Fals
                         out = []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), target)], schema=target)
+                del data, content
+        give_back()
 
     return files.mapInArrow(run, schema)
 
@@ -221,10 +226,10 @@ def digest(records: DataFrame) -> DataFrame:
     return records.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def write_and_read(docs: DataFrame) -> DataFrame:
+def write_and_read(docs: DataFrame, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
-    write(docs, path, tokens.public_path(VOCABULARY))
+    write(docs, path, tokens.public_path(VOCABULARY), memo_pieces=memo_pieces)
     return digest(read(spark, path, with_ids=False))
 
 
@@ -234,4 +239,4 @@ def op3_token_id_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write all rows as records and return one row for each from the files."""
-    return write_and_read(docs)
+    return write_and_read(docs, STAGE_PIECES)
