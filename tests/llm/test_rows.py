@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wickline.llm import decontaminate, quality, token_counts, token_files, tokens, toxicity
 from wickline.llm.common import fresh_path
@@ -73,17 +74,29 @@ def odd_texts(n=3000):
 def test_prefix_counts_equal_the_library():
     path = tokens.public_path(token_counts.VOCABULARY)
     library, memo, rng = tokens.load(path), token_counts._memo(path), random.Random(1)
-    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    for text in odd_texts(1500):
-        pieces = tokens.blank_free_pieces(text)
-        memo.learn([pieces])
-        ends, counts = token_counts.prefix_table(pieces, memo.known)
-        table = token_counts.PrefixTable(text, ends.tolist(), counts.tolist(), path)
-        k, budget = rng.randint(0, len(text)), rng.randint(0, 12)
-        assert counts[-1] == count(text)
-        assert table.tokens_at(k) == count(text[:k])
-        assert count(table.truncate(budget)) <= budget
-        assert table.fits(budget) == (count(text) <= budget)
+    texts = odd_texts(500) + ["it's we'RE 'store ''s x'r 'll' 'L a'v", "a" * 300, "!" * 70, "<|endoftext|>abc<|startoftext|>it's", "e\u0301e\u0300ab cafe\u0301s", "ß ẞ Σας ǅ Ⅷ ½"]
+    for text in texts:
+        table = token_counts.PrefixTable(text, memo.steps(tokens.blank_free_pieces(text)))
+        want = [len(x.ids) for x in library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+        assert table.counts.tolist() == want
+        budget = rng.randint(0, 12)
+        assert table.truncate(budget) == text[: max(k for k, n in enumerate(want) if n <= budget)]
+        assert table.fits(budget) == (want[-1] <= budget) and table.tokens_at(3) == want[min(3, len(text))]
+
+
+def test_questions_need_no_encoder(monkeypatch):
+    memo = token_counts._memo(tokens.public_path(token_counts.VOCABULARY))
+    text = "x" * 4000 + " and some words"
+    steps = memo.steps(tokens.blank_free_pieces(text))
+
+    def refuse(*_):
+        raise AssertionError("encoded again")
+
+    monkeypatch.setattr(tokens, "load", refuse)
+    monkeypatch.setattr(token_counts.Prefixes, "__call__", refuse)
+    monkeypatch.setattr(token_counts.Prefixes, "_word", refuse)
+    table = token_counts.PrefixTable(text, steps)
+    assert table.tokens_at(len(text)) == table.n_tokens and len(table.truncate(table.n_tokens // 2)) < len(text)
 
 
 def test_token_counts(spark, docs, empty, clashing, odd_rows):
@@ -92,8 +105,8 @@ def test_token_counts(spark, docs, empty, clashing, odd_rows):
     rows = token_counts.count_tokens(docs, path).collect()
     assert len(rows) == len(odd_rows)
     for r in rows:
-        assert r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) == r.prefix_tokens[-1]
-        assert r.prefix_ends[-1] == len(r.text or "")
+        assert r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) == token_counts.PrefixTable(r.text, r.prefix_steps).n_tokens
+        assert len(r.prefix_steps) == len(r.text or "")
     assert token_counts.count_tokens(empty, path).collect() == []
     assert token_counts.count_tokens(clashing, path).count() == len(odd_rows)
 
@@ -130,6 +143,14 @@ def test_token_files_round_trip(spark, docs, odd_rows, clashing):
     assert Counter(tuple(r.ids) for r in shuffled[0]) == Counter(tuple(r.ids) for r in found)
 
 
+def test_decontamination_leaves_clashing_columns_alone(docs, spark):
+    own = docs.withColumns({"n_hit": F.lit(77), "items": F.lit("mine"), "N_Words": F.lit("x")})
+    bench = spark.createDataFrame([(1, "twice the same row here")], "item_id long, text string")
+    kept = decontaminate.without_hits(own, bench)
+    assert kept.columns == own.columns and kept.count() == docs.count() - 2
+    assert {(r.n_hit, r["items"], r.N_Words) for r in kept.collect()} == {(77, "mine", "x")}
+
+
 def test_token_files_of_nothing(spark, empty):
     assert token_files.write_and_read(empty).collect() == []
 
@@ -194,21 +215,46 @@ def test_rules_find_the_bad_rows(spark, docs, empty):
 # ------------------------------------------------------------ toxicity
 
 
-def test_grammar_scopes():
-    assert toxicity.rewrite("xIx") == "xIx"
-    assert toxicity.rewrite("TxI") == "Txo"
-    assert toxicity.rewrite("IxT") == "oxT"
-    assert toxicity.rewrite("NxI") == "Nxi"
-    assert toxicity.rewrite("NxxxxI") == "NxxxxI"
-    assert toxicity.rewrite("RTxxxxxxI") == "RTxxxxxxr"
-    assert toxicity.rewrite("HT") == "dT"
+def test_grammar_reads_clauses():
+    readings = {"xIx": "xIx", "TxI": "Txo", "IxT": "oxT", "NxI": "Nxi", "NxxxxI": "NxxxxI", "RTxxxxxxI": "RTxxxxxxr", "HT": "dT", "TH": "Td", "IxxI": "pxxp"}
+    readings |= {"IxxxxxT": "IxxxxxT", "IxIxxxT": "pxoxxxT", "NIxI": "Nixi", "HxxxxxT": "HxxxxxT", "": ""}
+    assert {k: toxicity.rewrite(k) for k in readings} == readings
+    # A path's weight is the sum of its arcs': the heavier reading of two wins, and a factor of 0 takes a symbol's part away.
+    assert toxicity.GRAMMAR.best("IT", [1.0, 1.0]) == "oT"
     g = toxicity.Grammar({"=idiot": 5.0, "achlich+": 3.0})
-    assert g.features("You idiot!")[1] == 5.0
-    assert g.features("not an idiot")[2] == 5.0 and g.features("not an idiot")[0] == 0
-    assert g.features("he said idiot")[3] == 5.0
-    assert g.features("idiotic xidiot")[0] == 0.0
-    assert g.features("achlich achlichen")[0] == 3.0
-    assert g.features("kill you. idiot")[4] == 1.0
+    none = [0.0] * 5
+    assert g.features("You idiot!")[:1] == [5.0] and g.features("an idiot of an idiot")[1] == 10.0
+    assert g.features("not an idiot")[:5] == none and g.features("he said idiot")[:5] == none
+    assert g.features("idiot")[:5] == none == g.features("idiotic xidiot")[:5] and g.features(None)[:5] == none
+    assert g.features("idiot. achlichen")[2] == 3.0
+    assert g.features("kill you. idiot")[3] == 1.0
+
+
+def test_an_isolated_insult_is_below_the_threshold_and_the_grammar_counts():
+    rng = random.Random(4)
+    fill = lambda k: " ".join(rng.choice("re then wha tion ing ofer hand".split()) for _ in range(k))
+    insults = ["scumlo", "grubby", "wormy"]
+    texts, labels = [], []
+    for _ in range(1200):
+        kind = rng.choice(["clean", "reported", "denied", "directed", "directed"])
+        words = [rng.choice(insults) for _ in range(2)]
+        clauses = [f"{word} {fill(7)}" for word in ("you", "he said", "not", "you")]
+        for w in words:
+            made = {"clean": fill(3), "reported": f"he said {fill(2)} {w}", "denied": f"not {w}", "directed": f"you {fill(1)} {w}"}[kind]
+            clauses.insert(rng.randrange(len(clauses)), f"{fill(2)} {made} {fill(2)}")
+        texts.append(". ".join(clauses))
+        labels.append(int(kind == "directed"))
+    y = np.array(labels[800:]) == 1
+    ablated, lexicon = toxicity.composed(toxicity.PILE, toxicity.WEIGHTS), {f"={w}": 2.0 for w in insults}
+    right = {}
+    for name, reader in (("whole", toxicity.GRAMMAR), ("ablated", ablated)):
+        grammar = toxicity.Grammar(lexicon, reader)
+        beta = toxicity.fit_logistic(toxicity.design([grammar.features(t) for t in texts[:800]]), np.array(labels[:800], float))
+        model = toxicity.Model(lexicon, beta.tolist(), reader)
+        right[name] = np.mean((model.scores(texts[800:]) >= toxicity.THRESHOLD) == y)
+        if name == "whole":
+            assert (model.scores([f"{fill(4)} {w} {fill(4)}" for w in insults] + insults) < toxicity.THRESHOLD).all()
+    assert right["whole"] > 0.97 and right["whole"] > right["ablated"] + 0.1
 
 
 def corpus(n=900, seed=2):

@@ -52,9 +52,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append((name, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: (name, path) of the tables that this driver has written.
+_WRITTEN: list[tuple[str, str]] = []
+
+
+def tables(spark: SparkSession) -> Callable[..., None]:
+    """A function that removes the tables written since now but those of the names given, once nothing reads them."""
+    begun = len(_WRITTEN)
+
+    def done(*keep: str) -> None:
+        later = _WRITTEN[begun:]
+        _WRITTEN[begun:] = [(name, path) for name, path in later if name in keep]
+        for name, path in later:
+            if name not in keep:
+                remove(spark, path)
+
+    return done
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any file system that Hadoop knows."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, hidden, materialize, slices, table, utf8, with_columns
+from .common import give_back, hidden, materialize, slices, table, tables, utf8, with_columns
 from .components import connected
 from .repeats import Words
 
@@ -337,7 +337,8 @@ def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarra
     """``rows`` with set_id, set_size, the prefix of the set of shingles (the hotter ones later in the order) and bins.
 
     bins counts the set's elements by their lowest bits, up to 255: two sets
-    share no more than the lesser counts add up to.
+    share no more than the lesser counts add up to.  bits has whether each count is
+    odd: two sets differ in at least as many elements as in bits.
     """
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
@@ -345,17 +346,19 @@ def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarra
         (often, count), sets = shared.value, ShingleSets(size)
 
         def make(texts: pa.Array) -> list:
-            ids, sizes, prefixes, bins = [], [], [], []
+            ids, sizes, prefixes, bins, bits = [], [], [], [], []
             for found in sets(utf8(texts)):
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
-                bins.append(np.minimum(np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                counts = np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                bins.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+                bits.append(np.packbits(counts & 1).tobytes())
                 if len(often) and len(found):
                     at = np.minimum(np.searchsorted(often, found), len(often) - 1)
                     heat = np.where(often[at] == found, count[at], 0)
                     found = found[np.argsort(heat, kind="stable")]
                 prefixes.append((found[: jaccard_prefix(len(found))] >> np.uint64(64 - KEY_BITS)).view(np.int64))
-            return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int32), prefixes, bins]
+            return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int32), prefixes, bins, bits]
 
         return make
 
@@ -364,6 +367,7 @@ def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarra
         T.StructField("set_size", T.IntegerType()),
         T.StructField("prefix", T.ArrayType(T.LongType())),
         T.StructField("bins", T.BinaryType()),
+        T.StructField("bits", T.BinaryType()),
     ]
     return with_columns(rows, ["text"], fields, factory, keep)
 
@@ -398,21 +402,21 @@ def shared_posts(posts: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a key of (key, comp, n, at, id) and may be near by their sizes and its places.
+    """Pairs (a, b) of sets that share a key of (key, comp, n, at, id, bits) and may be near by their sizes and its places.
 
     A pair's first shared element, at places i and j of sets of n and m, leaves
     it 1 + min(n - i, m - j) - 1 elements to share, so a key that leaves fewer
-    than ``NEAR`` needs gives no pair.  Sets of one comp need no pair.  Without
-    comps (null), groups of more than ``GROUP`` give each set's pairs with the
-    least and the next one only.
+    than ``NEAR`` needs gives no pair.  Neither does a pair whose bits differ
+    more than the sets may.  Sets of one comp need no pair.  Without comps (0),
+    groups of more than ``GROUP`` give each set's pair with the least one only.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     up, down = NEAR.numerator, NEAR.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 5
+        rest = [*[np.empty(0, np.int64)] * 5, np.empty((0, BINS // 64), np.uint64)]
 
-        def done(keys, comps, ns, ats, ids) -> pa.RecordBatch:
+        def done(keys, comps, ns, ats, ids, bits) -> pa.RecordBatch:
             starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]) if len(keys) else np.empty(0, np.int64)
             sizes = np.diff(np.append(starts, len(keys)))
             firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -420,7 +424,8 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
 
             def take(i, j) -> None:
                 reach = np.minimum(left[i], left[j]) * (up + down) >= up * (ns[i] + ns[j])
-                good = reach & (ns[i] * down >= ns[j] * up) & ((comps[i] != comps[j]) | (comps[i] == 0))
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                good = reach & (differ * (up + down) <= (down - up) * (ns[i] + ns[j])) & (ns[i] * down >= ns[j] * up) & ((comps[i] != comps[j]) | (comps[i] == 0))
                 firsts.append(ids[i[good]])
                 seconds.append(ids[j[good]])
 
@@ -431,8 +436,11 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
             for at, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist()):
                 every = np.arange(at, at + size)
                 if not comps[at]:
-                    take(np.full(size - 1, at), every[1:])
-                    take(every[:-1], every[1:])
+                    # The least by id: keys of one group of copies mostly name the same one, and so the same pairs.
+                    head = np.full(size - 1, at + int(np.argmin(ids[at : at + size])))
+                    others = every[every != head[0]]
+                    take(np.maximum(head, others), np.minimum(head, others))
+                    take(np.minimum(head, others), np.maximum(head, others))
                 else:
                     # Sorted by size: those too large for a set end its partners.
                     last = np.searchsorted(ns[every] * up, ns[every] * down, side="right")
@@ -444,6 +452,7 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
 
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "comp", "n", "at", "id")]
+            new.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BINS // 64))
             held = [np.concatenate(x) for x in zip(rest, new)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             rest = [x[cut:] for x in held]
@@ -451,7 +460,7 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
         yield done(*rest)
         give_back()
 
-    dealt = posts.select("key", "comp", "n", "at", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    dealt = posts.select("key", "comp", "n", "at", "id", "bits").repartition("key").sortWithinPartitions("key", "n", "id")
     return dealt.mapInArrow(run, schema).distinct()
 
 
@@ -523,7 +532,7 @@ def near_copies(rows: DataFrame, row: str, id_col: str = "doc_id", size: int = S
     sets = materialize(with_sets(named, [row, "id"], hot_shingles(named, row, size), size), "sets")
     by_set = sets.groupBy("set_id")
     order = F.struct(F.col("id").isNull().alias("null"), "id", "set_id", F.col(row).alias("row"))
-    heads = by_set.agg(F.min(row).alias("head"), F.min(order).alias("best"), F.first("set_size").alias("n"), F.first("bins").alias("bins"))
+    heads = by_set.agg(F.min(row).alias("head"), F.min(order).alias("best"), F.first("set_size").alias("n"), F.first("bins").alias("bins"), F.first("bits").alias("bits"))
     heads = materialize(heads, "set-heads")
     prefixes = by_set.agg(F.min(row).alias("id"), F.first("set_size").alias("n"), F.first("prefix").alias("prefix"))
     posts = materialize(shared_posts(prefixes.select("n", "id", F.posexplode("prefix").alias("at", "key"))), "posts")
@@ -534,11 +543,12 @@ def near_copies(rows: DataFrame, row: str, id_col: str = "doc_id", size: int = S
         texts = rows.select(row, "text").join(wanted, row, "left_semi").withColumnRenamed(row, "id")
         return materialize(near_pairs(pairs, with_members(texts, ["id"], size)), "near-pairs")
 
-    found = verified(candidate_pairs(posts.withColumn("comp", F.lit(0).cast("long"))))
+    bits = heads.select(F.col("head").alias("id"), "bits")
+    found = verified(candidate_pairs(posts.withColumn("comp", F.lit(0).cast("long")).join(bits, "id")))
     left = posts.where(F.col("held") > GROUP)
     if left.limit(1).count():
         members = connected(found, "near").withColumnRenamed("node", "id")
-        found = found.union(verified(candidate_pairs(left.join(members, "id", "left").withColumn("comp", F.coalesce("component", "id"))))).distinct()
+        found = found.union(verified(candidate_pairs(left.join(bits, "id").join(members, "id", "left").withColumn("comp", F.coalesce("component", "id"))))).distinct()
     members = connected(found, "near").withColumnRenamed("node", "head")
     named = heads.select("head", "best").join(members, "head", "left")
     return named.groupBy(F.coalesce("component", "head").alias("component")).agg(F.min("best").alias("best")).select("component", F.col("best.row").alias("first"))
@@ -552,7 +562,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = hidden(docs, "_row")
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id() + 1), "numbered")
+    done = tables(spark)
     kept = materialize(near_copies(rows, row).select(F.col("first").alias(row)), "kept")
+    done("kept")
     dropped = materialize(rows.select(row).join(kept, row, "left_anti"), "dropped")
     few = dropped.count() <= MOST_DROPPED
     out = rows.join(F.broadcast(dropped), row, "left_anti") if few else rows.join(kept, row, "left_semi")
