@@ -80,3 +80,17 @@ def test_engine_without_llm(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q); print(len(q), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": copy})
     assert done.returncode == 0, done.stderr[-500:]
+
+
+@needs_data
+def test_etl_keeps_the_last_row_of_a_file_and_checks_the_order(spark, tmp_path):
+    bars = fixtures.hourly(spark, SF).where("symbol = 'click'").orderBy("open_time_utc").limit(60).coalesce(1)
+    first = bars.first()
+    lower = [{**first.asDict(), "open": first.low, "close": first.low}]
+    spark.createDataFrame(bars.collect() + [tuple(lower[0][c] for c in bars.columns)], bars.schema).coalesce(1).write.parquet(f"{tmp_path}/lake/click/1h/x.parquet")
+    etl.run(spark, f"{tmp_path}/lake", f"{tmp_path}/out", ["click"])
+    kept = spark.read.parquet(f"{tmp_path}/out/klines").orderBy("open_time_utc").first()
+    assert (float(kept.open), float(kept.close)) == (first.low, first.low)
+    quality = spark.read.parquet(f"{tmp_path}/out/data_quality")
+    assert quality.where("check_name = 'TEMPORAL_ORDER'").first().failed_rows == 1
+    assert quality.select("check_name").distinct().count() == 7
