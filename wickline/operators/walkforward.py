@@ -56,7 +56,9 @@ def _sided(ks: Column, side: str) -> Column:
 
 
 def with_count(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+    if frames.chunk_rows(rows, None):
+        return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+    return rows.withColumn("n", F.count("*").over(frames.whole(keys)))
 
 
 def samples_restarted(bars: DataFrame, strategies: Sequence[signals.Strategy], keys: Sequence[str], config: BacktestConfig = BacktestConfig()) -> DataFrame:
