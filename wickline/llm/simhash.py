@@ -49,6 +49,8 @@ STAGE_SHINGLE = 5
 NEAR = Fraction(4, 5)
 #: Sets of a key compared pair by pair at once.
 GROUP = 16
+#: Sets of a larger key that the others are compared with first.
+GUIDES = 32
 #: Every so many rows are searched for hot shingles: those in so many of them, and so many shingles at most.
 HOT_PART, HOT_COUNT, HOT_KEYS = 16, 4, 500_000
 #: Bins of the histogram that bounds what two sets share, and bits of a shingle that find candidates.
@@ -408,7 +410,10 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
     it 1 + min(n - i, m - j) - 1 elements to share, so a key that leaves fewer
     than ``NEAR`` needs gives no pair.  Neither does a pair whose bits differ
     more than the sets may.  Sets of one comp need no pair.  Without comps (0),
-    groups of more than ``GROUP`` give each set's pair with the least one only.
+    groups of more than ``GROUP`` give each set's pairs with the least one and
+    with two of ``GUIDES`` others, those whose bits leave the most room: a few
+    links a set that mostly join a group of copies, so that little is left to
+    compare across components.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     up, down = NEAR.numerator, NEAR.denominator
@@ -436,11 +441,17 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
             for at, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist()):
                 every = np.arange(at, at + size)
                 if not comps[at]:
-                    # The least by id: keys of one group of copies mostly name the same one, and so the same pairs.
-                    head = np.full(size - 1, at + int(np.argmin(ids[at : at + size])))
-                    others = every[every != head[0]]
-                    take(np.maximum(head, others), np.minimum(head, others))
-                    take(np.minimum(head, others), np.maximum(head, others))
+                    # Guides are the least by id: keys of one group of copies mostly name the same ones, and so the same pairs.
+                    guides = at + np.sort(np.argsort(ids[at : at + size], kind="stable")[:GUIDES])
+                    head = guides[np.argmin(ids[guides])]
+                    for part in np.array_split(every, -(-size // 1024)):
+                        excess = np.bitwise_count(bits[guides, None] ^ bits[part]).sum(axis=2, dtype=np.int64) * (up + down)
+                        excess -= (down - up) * (ns[guides, None] + ns[part])
+                        excess[guides[:, None] == part] = np.iinfo(np.int64).max
+                        nearest = guides[np.argpartition(excess, 1, axis=0)[:2]]
+                        for partner in (np.full(len(part), head), *nearest):
+                            other = part != partner
+                            take(np.minimum(part, partner)[other], np.maximum(part, partner)[other])
                 else:
                     # Sorted by size: those too large for a set end its partners.
                     last = np.searchsorted(ns[every] * up, ns[every] * down, side="right")
