@@ -143,6 +143,17 @@ def test_stage_keeps_one_row_a_group(spark, odd_rows):
     assert all(r.doc_id == least[texts[r.text]][1] for r in got)
 
 
+def test_few_edges_take_one_task_and_many_the_rounds(spark, monkeypatch):
+    rng = random.Random(1)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1300)] + [(None, 3), (7, 7)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = sorted(components.connected(table).collect())
+    assert sorted(components.joined(table).collect()) == want
+    monkeypatch.setattr(components, "ONE_TASK", 10)
+    assert sorted(components.joined(table).collect()) == want
+    assert components.joined(table.limit(0)).collect() == []
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     rng = random.Random(0)
     path = [(i, i + 1) for i in range(0, 60)]

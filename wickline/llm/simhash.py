@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import give_back, hidden, materialize, slices, table, tables, utf8, with_columns
-from .components import connected
+from .components import connected, joined
 from .repeats import Words
 
 SHINGLE = 4
@@ -558,9 +558,9 @@ def near_copies(rows: DataFrame, row: str, id_col: str = "doc_id", size: int = S
     found = verified(candidate_pairs(posts.withColumn("comp", F.lit(0).cast("long")).join(bits, "id")))
     left = posts.where(F.col("held") > GROUP)
     if left.limit(1).count():
-        members = connected(found, "near").withColumnRenamed("node", "id")
+        members = joined(found, "near").withColumnRenamed("node", "id")
         found = found.union(verified(candidate_pairs(left.join(bits, "id").join(members, "id", "left").withColumn("comp", F.coalesce("component", "id"))))).distinct()
-    members = connected(found, "near").withColumnRenamed("node", "head")
+    members = joined(found, "near").withColumnRenamed("node", "head")
     named = heads.select("head", "best").join(members, "head", "left")
     return named.groupBy(F.coalesce("component", "head").alias("component")).agg(F.min("best").alias("best")).select("component", F.col("best.row").alias("first"))
 
