@@ -143,6 +143,25 @@ def test_stage_keeps_one_row_a_group(spark, odd_rows):
     assert all(r.doc_id == least[texts[r.text]][1] for r in got)
 
 
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(20)]
+    texts += [t.replace("x150 ", "changed ") for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    prints = [simhash.print_of(found) for found in simhash.ShingleSets(simhash.STAGE_SHINGLE)([t.encode() for t in texts])]
+    linked = {k for k in range(20) if (prints[k] ^ prints[k + 20]).bit_count() <= simhash.STAGE_TAU}
+    assert len(linked) > 10
+    exact, links = simhash.candidate_pairs, simhash.linked_sets
+    monkeypatch.setattr(simhash, "candidate_pairs", lambda *args: exact(*args).limit(0))
+    assert {r.doc_id for r in simhash.stage(spark, docs, "").collect()} == set(range(40)) - {k + 20 for k in linked}
+    # What fingerprints have linked is not a candidate again, the rest is.
+    seen = []
+    monkeypatch.setattr(simhash, "candidate_pairs", lambda *args: seen.append(exact(*args)) or seen[-1])
+    monkeypatch.setattr(simhash, "tables", lambda spark: lambda *keep: None)
+    assert {r.doc_id for r in simhash.stage(spark, docs, "").collect()} == set(range(20))
+    assert seen[0].count() == 20 - len(linked)
+    assert links(spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, -1)], "head long, fp long")).count() == 2
+
+
 def test_few_edges_take_one_task_and_many_the_rounds(spark, monkeypatch):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1300)] + [(None, 3), (7, 7)]

@@ -18,9 +18,11 @@ link like others; repeated rows are copies; a null doc_id takes part but is
 never a component id; an empty table gives an empty result.
 
 The pipeline's stage has its own definition: sets of 5-word shingles with a
-Jaccard similarity of at least 0.8.  Such pairs differ in about ten of 64 bits,
-more than keys can be complete for, so their candidates are sets that share an
-element of their prefixes, which misses none, and are then compared exactly.
+Jaccard similarity of at least 0.8.  The same fingerprints, keys and chain
+budgets, at the wider ``STAGE_TAU``, link the sets; links are compared exactly.
+Pairs at 0.8 differ in about ten of 64 bits, more than keys can be complete
+for, so an exact way finds the rest: sets of different groups that share an
+element of their prefixes, which misses none.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ CHAIN = 4
 #: The pipeline's stage: words of a shingle and the least Jaccard similarity of near copies.
 STAGE_SHINGLE = 5
 NEAR = Fraction(4, 5)
+#: Differing bits at which the stage links fingerprints, and the segments of its keys.
+STAGE_TAU, STAGE_CHAIN = 5, 3
 #: Sets of a key compared pair by pair at once.
 GROUP = 16
 #: Sets of a larger key that the others are compared with first.
@@ -80,7 +84,11 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.nda
 
 def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of the word shingles of ``text``, its ASCII letters lower-cased."""
-    hashes = shingle_hashes(text, size, seed)
+    return print_of(shingle_hashes(text, size, seed))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` have."""
     n = len(hashes)
     if not n:
         return 0
@@ -336,7 +344,7 @@ def hot_shingles(rows: DataFrame, row: str, size: int) -> tuple[np.ndarray, np.n
 
 
 def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
-    """``rows`` with set_id, set_size, the prefix of the set of shingles (the hotter ones later in the order) and bins.
+    """``rows`` with set_id, set_size, fp (the set's SimHash), the prefix of the set of shingles (the hotter ones later in the order) and bins.
 
     bins counts the set's elements by their lowest bits, up to 255: two sets
     share no more than the lesser counts add up to.  bits has whether each count is
@@ -348,10 +356,11 @@ def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarra
         (often, count), sets = shared.value, ShingleSets(size)
 
         def make(texts: pa.Array) -> list:
-            ids, sizes, prefixes, bins, bits = [], [], [], [], []
+            ids, sizes, prints, prefixes, bins, bits = [], [], [], [], [], []
             for found in sets(utf8(texts)):
                 ids.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                prints.append(print_of(found))
                 counts = np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS)
                 bins.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
                 bits.append(np.packbits(counts & 1).tobytes())
@@ -360,13 +369,14 @@ def with_sets(rows: DataFrame, keep: list[str], hot: tuple[np.ndarray, np.ndarra
                     heat = np.where(often[at] == found, count[at], 0)
                     found = found[np.argsort(heat, kind="stable")]
                 prefixes.append((found[: jaccard_prefix(len(found))] >> np.uint64(64 - KEY_BITS)).view(np.int64))
-            return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int32), prefixes, bins, bits]
+            return [np.array(ids, np.uint64).view(np.int64), np.array(sizes, np.int32), np.array(prints, np.uint64).view(np.int64), prefixes, bins, bits]
 
         return make
 
     fields = [
         T.StructField("set_id", T.LongType()),
         T.StructField("set_size", T.IntegerType()),
+        T.StructField("fp", T.LongType()),
         T.StructField("prefix", T.ArrayType(T.LongType())),
         T.StructField("bins", T.BinaryType()),
         T.StructField("bits", T.BinaryType()),
@@ -403,13 +413,23 @@ def shared_posts(posts: DataFrame) -> DataFrame:
     return posts.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, POSTS)
 
 
-def candidate_pairs(posts: DataFrame) -> DataFrame:
+def linked_sets(heads: DataFrame, tau: int = STAGE_TAU, chain: int = STAGE_CHAIN) -> DataFrame:
+    """Pairs (a, b) of a forest over sets whose fingerprints differ in at most ``tau`` bits; ``heads`` (head, fp)."""
+    classes = heads.groupBy("fp").agg(F.min("head").alias("least"))
+    near = links(classes.select("fp"), tau, chain)
+    for side in ("a", "b"):
+        near = near.join(classes.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")), side)
+    same = heads.join(classes, "fp").where("head <> least").select(F.col("least").alias("a"), F.col("head").alias("b"))
+    return same.union(near.select("least_a", "least_b"))
+
+
+def candidate_pairs(posts: DataFrame, guided: bool) -> DataFrame:
     """Pairs (a, b) of sets that share a key of (key, comp, n, at, id, bits) and may be near by their sizes and its places.
 
     A pair's first shared element, at places i and j of sets of n and m, leaves
     it 1 + min(n - i, m - j) - 1 elements to share, so a key that leaves fewer
     than ``NEAR`` needs gives no pair.  Neither does a pair whose bits differ
-    more than the sets may.  Sets of one comp need no pair.  Without comps (0),
+    more than the sets may.  Sets of one comp need no pair.  If ``guided``,
     groups of more than ``GROUP`` give each set's pairs with the least one and
     with two of ``GUIDES`` others, those whose bits leave the most room: a few
     links a set that mostly join a group of copies, so that little is left to
@@ -430,7 +450,7 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
             def take(i, j) -> None:
                 reach = np.minimum(left[i], left[j]) * (up + down) >= up * (ns[i] + ns[j])
                 differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                good = reach & (differ * (up + down) <= (down - up) * (ns[i] + ns[j])) & (ns[i] * down >= ns[j] * up) & ((comps[i] != comps[j]) | (comps[i] == 0))
+                good = reach & (differ * (up + down) <= (down - up) * (ns[i] + ns[j])) & (ns[i] * down >= ns[j] * up) & (comps[i] != comps[j])
                 firsts.append(ids[i[good]])
                 seconds.append(ids[j[good]])
 
@@ -440,7 +460,9 @@ def candidate_pairs(posts: DataFrame) -> DataFrame:
                     take(at + i, at + j)
             for at, size in zip(starts[sizes > GROUP].tolist(), sizes[sizes > GROUP].tolist()):
                 every = np.arange(at, at + size)
-                if not comps[at]:
+                if (comps[every] == comps[at]).all():
+                    continue
+                if guided:
                     # Guides are the least by id: keys of one group of copies mostly name the same ones, and so the same pairs.
                     guides = at + np.sort(np.argsort(ids[at : at + size], kind="stable")[:GUIDES])
                     head = guides[np.argmin(ids[guides])]
@@ -534,16 +556,17 @@ def with_members(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
 def near_copies(rows: DataFrame, row: str, id_col: str = "doc_id", size: int = STAGE_SHINGLE) -> DataFrame:
     """(component, first): the groups of texts whose shingle sets are near; first is the row number of a group's first.
 
-    ``rows`` has row (numbers from 1), ``id_col`` and text.  Every pair at
-    ``NEAR`` shares an element of both prefixes, so no link is missed.  Large
-    groups are linked by stars first; then only their pairs across components
-    are left to compare.  The first row has the least id, null last.
+    ``rows`` has row (numbers from 1), ``id_col`` and text.  Fingerprints link
+    sets first.  Every pair at ``NEAR`` shares an element of both prefixes, so
+    comparing those of different groups misses no link.  Large keys are linked
+    by stars before their pairs across components are compared.  The first row
+    has the least id, null last.
     """
     named = rows.select(row, F.col(id_col).alias("id"), "text")
     sets = materialize(with_sets(named, [row, "id"], hot_shingles(named, row, size), size), "sets")
     by_set = sets.groupBy("set_id")
     order = F.struct(F.col("id").isNull().alias("null"), "id", "set_id", F.col(row).alias("row"))
-    heads = by_set.agg(F.min(row).alias("head"), F.min(order).alias("best"), F.first("set_size").alias("n"), F.first("bins").alias("bins"), F.first("bits").alias("bits"))
+    heads = by_set.agg(F.min(row).alias("head"), F.min(order).alias("best"), F.first("set_size").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bits").alias("bits"))
     heads = materialize(heads, "set-heads")
     prefixes = by_set.agg(F.min(row).alias("id"), F.first("set_size").alias("n"), F.first("prefix").alias("prefix"))
     posts = materialize(shared_posts(prefixes.select("n", "id", F.posexplode("prefix").alias("at", "key"))), "posts")
@@ -554,12 +577,15 @@ def near_copies(rows: DataFrame, row: str, id_col: str = "doc_id", size: int = S
         texts = rows.select(row, "text").join(wanted, row, "left_semi").withColumnRenamed(row, "id")
         return materialize(near_pairs(pairs, with_members(texts, ["id"], size)), "near-pairs")
 
-    bits = heads.select(F.col("head").alias("id"), "bits")
-    found = verified(candidate_pairs(posts.withColumn("comp", F.lit(0).cast("long")).join(bits, "id")))
+    def across(posts: DataFrame, found: DataFrame, guided: bool) -> DataFrame:
+        comps = joined(found, "near").withColumnRenamed("node", "head")
+        sides = heads.join(comps, "head", "left").select(F.col("head").alias("id"), F.coalesce("component", "head").alias("comp"), "bits")
+        return found.union(verified(candidate_pairs(posts.join(sides, "id"), guided)))
+
+    found = across(posts, verified(linked_sets(heads)), guided=True)
     left = posts.where(F.col("held") > GROUP)
     if left.limit(1).count():
-        members = joined(found, "near").withColumnRenamed("node", "id")
-        found = found.union(verified(candidate_pairs(left.join(bits, "id").join(members, "id", "left").withColumn("comp", F.coalesce("component", "id"))))).distinct()
+        found = across(left, found, guided=False)
     members = joined(found, "near").withColumnRenamed("node", "head")
     named = heads.select("head", "best").join(members, "head", "left")
     return named.groupBy(F.coalesce("component", "head").alias("component")).agg(F.min("best").alias("best")).select("component", F.col("best.row").alias("first"))
