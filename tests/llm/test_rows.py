@@ -125,6 +125,27 @@ def test_encoding_equals_the_library():
         assert np.frombuffer(found, "<u2").tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once_and_frequent_ones_stay():
+    library = tokens.load(tokens.public_path(token_files.VOCABULARY))
+    memo = tokens.IdMemo(library, np.dtype("<u2"), limit=400)
+    asked = []
+    words = memo._words
+    memo._words = lambda led, into: asked.extend(led) or words(led, into)
+    texts = ["a " + " ".join(f"{w}{end}" for w in ("süßes", "Wort", "пример", "x9", "don't", "ǆ", "é", "漢字", "\U0001e4d0", "²") for end in ("", ",", ".", "?!", "...", "'s.", "¡", ".\nB"))]
+    texts += [t.replace(" ", "  ") + "  " for t in texts] + ["<|endoftext|>. a<|endoftext|>, word,<|endoftext|>."]
+    for text, found in zip(texts, token_files.encode(texts, memo)):
+        assert np.frombuffer(found, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and "Wort" in asked and "Wort," not in asked
+    rng = random.Random(0)
+    letters = "abcdefghijklmnopqrstuvwxyzäéñß"
+    asked.clear()
+    for _ in range(30):
+        text = "first " + " ".join(["often", "again,"] + ["".join(rng.choice(letters) for _ in range(8)) for _ in range(60)])
+        assert np.frombuffer(token_files.encode([text], memo)[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(memo.known) <= 400
+    assert asked.count("often") == asked.count("again") == 1
+
+
 def test_token_files_round_trip(spark, docs, odd_rows, clashing):
     path, vocabulary = fresh_path(spark, "t"), tokens.public_path(token_files.VOCABULARY)
     token_files.write(clashing, path, vocabulary)

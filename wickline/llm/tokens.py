@@ -2,12 +2,14 @@
 
 A text is cut where its tokenizer's own pre-tokenizer always cuts, and the
 library encodes every distinct piece once per worker.  The joined results
-equal the library's for the whole text (tested against it).  The memo is
-emptied when it holds ``MEMO_PIECES`` pieces, so memory stays bounded.
+equal the library's for the whole text (tested against it).  A memo that holds
+``MEMO_PIECES`` pieces is emptied (``IdMemo``: but for those that came again),
+so memory stays bounded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -20,6 +22,12 @@ CHUNK_CHARS = 2 << 20
 
 #: GPT-2 style pre-tokenizers: a space before a non-space starts a new piece.
 _BEFORE_SPACE = re.compile(r" (?=\S)")
+#: Marks that such pre-tokenizers cut off the letter or digit before them.
+_MARKS = ".,;:!?*%$&#"
+#: Letters and digits below it are those of every version of Unicode in use.
+_SETTLED = "\u0530"
+#: The characters that stand for the bytes of letters beyond ASCII in byte-level vocabularies.
+_BYTE_CHARS = {b: chr(b + 162) if b <= 160 else chr(323) if b == 173 else chr(b) for b in range(128, 256)}
 
 
 def load(path: str):
@@ -90,11 +98,24 @@ class Memo:
                 known[piece] = value(found)
 
 
+def _cuts_at_words(tokenizer) -> bool:
+    """Whether ``tokenizer`` hands a space and the letters after it to its model as one piece, byte by byte, and as they are."""
+    found = json.loads(tokenizer.to_str())
+    before = found["pre_tokenizer"] or {}
+    known = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = {k: before.get(k) for k in known} == known and found["normalizer"] is None and found["model"].get("dropout") is None
+    return plain and not any(t["content"].strip().isalpha() or set(t["content"]) & set(_MARKS) for t in found["added_tokens"])
+
+
 class IdMemo(Memo):
     """piece -> ids as little-endian bytes, for pieces of ``space_led_pieces`` and byte-level tokenizers.
 
     Pieces led by a space are encoded many in one text, where the library cuts
     between them as in any text, and told apart by the bytes of their tokens.
+    Marks at a piece's end are encoded apart, once, so that a word is encoded
+    once whatever follows it; letters alone are one piece to the library, and
+    go to its model at once.  A full memo keeps the pieces that came again
+    since it was last full, if they are less than half of it.
     """
 
     JOINED = 50
@@ -102,25 +123,83 @@ class IdMemo(Memo):
     def __init__(self, tokenizer, kind: np.dtype, limit: int = MEMO_PIECES):
         super().__init__(tokenizer, None, limit)
         self.kind = kind
+        self.again: set[str] = set()
+        self.marks: dict[str, bytes] = {}
+        self.model, self.whole_words = tokenizer.model, _cuts_at_words(tokenizer)
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.cells = [self._bytes([n]) for n in range(max(vocabulary.values()) + 1)]
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         for token, number in vocabulary.items():
             self.width[number] = len(token.encode()) if token in added else len(token)
 
+    def learn(self, piece_lists: list[list[str]]) -> None:
+        pieces = set().union(*piece_lists)
+        fresh = pieces.difference(self.known)
+        pieces -= fresh
+        if len(self.known) + len(fresh) > self.limit:
+            kept = self.again | pieces
+            if 2 * (len(kept) + len(fresh)) > self.limit:
+                kept = pieces if len(pieces) + len(fresh) <= self.limit else set()
+                fresh = set().union(*piece_lists) - kept
+            self.known = {p: self.known[p] for p in kept}
+            self.again = set()
+        self.again |= pieces
+        self._encode(fresh)
+
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _alone(self, pieces: list[str]) -> None:
+    def _alone(self, pieces: list[str], into: dict[str, bytes]) -> None:
         for k in range(0, len(pieces), 20_000):
             part = pieces[k : k + 20_000]
             texts = [p[1:] if p[:1] == "\0" else " " + p for p in part]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[piece] = self._bytes(found.ids)
-
-    def _encode(self, todo: list[str]) -> None:
-        self._alone([p for p in todo if p[:1] == "\0"])
-        led = [p for p in todo if p[:1] != "\0"]
+                into[piece] = self._bytes(found.ids)
+
+    def _encode(self, todo: set[str]) -> None:
+        known, plain, ended, stems = self.known, [], [], set()
+        if not self.whole_words:
+            self._learn(todo, known)
+            return
+        for piece in todo:
+            stem = piece.rstrip(_MARKS)
+            if stem is piece or not stem or not stem[-1].isalnum() or stem[-1] >= _SETTLED or piece[0] == "\0":
+                plain.append(piece)
+            else:
+                ended.append(piece)
+                stems.add(stem)
+        self._learn(plain, known)
+        apart: dict[str, bytes] = {}
+        self._learn([s for s in stems if s not in known], apart)
+        if len(self.marks) > 10_000:
+            self.marks = {}
+        marks = self.marks
+        for piece in ended:
+            stem = piece.rstrip(_MARKS)
+            end = piece[len(stem) :]
+            if end not in marks:
+                marks[end] = self._bytes(self.tokenizer.encode(end, add_special_tokens=False).ids)
+            known[piece] = (known.get(stem) or apart[stem]) + marks[end]
+
+    def _learn(self, pieces: Iterable[str], into: dict[str, bytes]) -> None:
+        words, rest, first = [], [], []
+        for piece in pieces:
+            word = self.whole_words and piece.isalpha() and (piece.isascii() or max(piece) < _SETTLED)
+            (words if word else first if piece[:1] == "\0" else rest).append(piece)
+        self._words(words, into)
+        self._led(rest, into)
+        self._alone(first, into)
+
+    def _words(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Learn pieces of letters that a space leads."""
+        cells, tokenize = self.cells, self.model.tokenize
+        for word in words:
+            chars = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            into[word] = b"".join([cells[t.id] for t in tokenize("\u0120" + chars)])
+
+    def _led(self, led: list[str], into: dict[str, bytes]) -> None:
+        """Learn pieces that a space leads."""
         for k in range(0, len(led), 200 * self.JOINED):
             groups = [led[i : i + self.JOINED] for i in range(k, min(k + 200 * self.JOINED, len(led)), self.JOINED)]
             texts = [" " + " ".join(g) for g in groups]
@@ -130,11 +209,11 @@ class IdMemo(Memo):
                 ends = np.cumsum([len(p.encode()) + 1 for p in group])
                 cuts = np.searchsorted(reached, ends)
                 if cuts[-1] >= len(ids) or (reached[cuts] != ends).any():
-                    self._alone(group)  # a token that isn't its bytes
+                    self._alone(group, into)  # a token that isn't its bytes
                     continue
                 data, size, at = ids.tobytes(), self.kind.itemsize, 0
                 for piece, cut in zip(group, ((cuts + 1) * size).tolist()):
-                    self.known[piece] = data[at:cut]
+                    into[piece] = data[at:cut]
                     at = cut
 
 
