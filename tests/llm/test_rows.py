@@ -146,6 +146,20 @@ def test_words_are_encoded_once_and_frequent_ones_stay():
     assert asked.count("often") == asked.count("again") == 1
 
 
+def test_line_feeds_part_pieces_where_the_library_cuts():
+    library = tokens.load(tokens.public_path(token_files.VOCABULARY))
+    memo = tokens.IdMemo(library, np.dtype("<u2"))
+    texts = ["One end.\nTwo (a)\n'sand\nÄöü, x9\n\u6f22\u5b57 b\n+1", "\nlead", "trail\n", "\n", "a<|endoftext|>\nb\n<|endoftext|>"]
+    for text, found in zip(texts, token_files.encode(texts, memo)):
+        assert np.frombuffer(found, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert {"end.", "\0Two", "\0\n"} <= memo.known.keys() and not any("\n" in p and p != "\0\n" for p in memo.known)
+    rng = random.Random(1)
+    bits = [" ", "\n", "a", "Be", "\u00fc", ",", ".", "9", "'s", "\t", "\r\n", "\x85", "\u00a0", "\x1c", "\u2028", "\u3000", "  ", "\n\n", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits[: rng.choice((9, len(bits)))]) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for text, found in zip(texts, token_files.encode(texts, memo)):
+        assert np.frombuffer(found, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files_round_trip(spark, docs, odd_rows, clashing):
     path, vocabulary = fresh_path(spark, "t"), tokens.public_path(token_files.VOCABULARY)
     token_files.write(clashing, path, vocabulary)

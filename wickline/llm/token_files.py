@@ -87,7 +87,7 @@ def _memo(path: str, pieces: int = MEMO_PIECES) -> tuple[tokens.IdMemo, bool]:
 def encode(texts: list[str], memo: tokens.IdMemo) -> list[bytes]:
     """The ids of each text, as little-endian bytes."""
     # A text that itself starts a piece with the mark is encoded whole.
-    lists = [tokens.space_led_pieces(t) if "\0" not in t else ["\0" + t] for t in texts]
+    lists = [tokens.space_led_pieces(t, memo.whole_words) if "\0" not in t else ["\0" + t] for t in texts]
     memo.learn(lists)
     get = memo.known.__getitem__
     return [b"".join(map(get, pieces)) for pieces in lists]

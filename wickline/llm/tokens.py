@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,12 +23,14 @@ CHUNK_CHARS = 2 << 20
 
 #: GPT-2 style pre-tokenizers: a space before a non-space starts a new piece.
 _BEFORE_SPACE = re.compile(r" (?=\S)")
+#: White space to ``re`` but spaces and line feeds.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Marks that such pre-tokenizers cut off the letter or digit before them.
 _MARKS = ".,;:!?*%$&#"
 #: Letters and digits below it are those of every version of Unicode in use.
 _SETTLED = "\u0530"
-#: The characters that stand for the bytes of letters beyond ASCII in byte-level vocabularies.
-_BYTE_CHARS = {b: chr(b + 162) if b <= 160 else chr(323) if b == 173 else chr(b) for b in range(128, 256)}
+#: The characters that stand for bytes in byte-level vocabularies: those of space and of letters; others as they are.
+_BYTE_CHARS = "".join(chr(288) if b == 32 else chr(323) if b == 173 else chr(b + 162) if 128 <= b <= 160 else chr(b) for b in range(256))
 
 
 def load(path: str):
@@ -60,12 +63,17 @@ def chunks(texts: Iterable[str | None], size: int = CHUNK_CHARS) -> Iterator[lis
         yield held
 
 
-def space_led_pieces(text: str) -> list[str]:
-    """Pieces of ``text``; all but the first stand for a space and the piece.
+def space_led_pieces(text: str, lines: bool = False) -> list[str]:
+    """Pieces of ``text``; those without a mark stand for a space and the piece.
 
-    The first is marked, as it has no space before it.
+    Marked are the first, as it has no space before it, and, if the tokenizer
+    cuts at both sides of a lone line feed (``lines``) and no white space of
+    the text touches other white space, line feeds and what follows them.
     """
-    pieces = _BEFORE_SPACE.split(text)
+    if not lines or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] == " " or any(c in text for c in _OTHER_SPACE):
+        pieces = _BEFORE_SPACE.split(text)
+    else:
+        pieces = text.replace("\n", " \0\n \0").split(" ")
     pieces[0] = "\0" + pieces[0]
     return pieces
 
@@ -114,7 +122,7 @@ class IdMemo(Memo):
     between them as in any text, and told apart by the bytes of their tokens.
     Marks at a piece's end are encoded apart, once, so that a word is encoded
     once whatever follows it; letters alone are one piece to the library, and
-    go to its model at once.  A full memo keeps the pieces that came again
+    go to its model at once, as do those after a line feed.  A full memo keeps the pieces that came again
     since it was last full, if they are less than half of it.
     """
 
@@ -158,25 +166,29 @@ class IdMemo(Memo):
                 into[piece] = self._bytes(found.ids)
 
     def _encode(self, todo: set[str]) -> None:
-        known, plain, ended, stems = self.known, [], [], set()
+        known, ended, stems = self.known, [], set()
         if not self.whole_words:
             self._learn(todo, known)
             return
+        words, plain = [], []
         for piece in todo:
+            if piece.isalpha():
+                (words if piece.isascii() or max(piece) < _SETTLED else plain).append(piece)
+                continue
             stem = piece.rstrip(_MARKS)
             if stem is piece or not stem or not stem[-1].isalnum() or stem[-1] >= _SETTLED or piece[0] == "\0":
                 plain.append(piece)
             else:
-                ended.append(piece)
+                ended.append((piece, stem))
                 stems.add(stem)
+        self._words(words, known)
         self._learn(plain, known)
         apart: dict[str, bytes] = {}
-        self._learn([s for s in stems if s not in known], apart)
+        self._learn(stems.difference(known), apart)
         if len(self.marks) > 10_000:
             self.marks = {}
         marks = self.marks
-        for piece in ended:
-            stem = piece.rstrip(_MARKS)
+        for piece, stem in ended:
             end = piece[len(stem) :]
             if end not in marks:
                 marks[end] = self._bytes(self.tokenizer.encode(end, add_special_tokens=False).ids)
@@ -185,18 +197,19 @@ class IdMemo(Memo):
     def _learn(self, pieces: Iterable[str], into: dict[str, bytes]) -> None:
         words, rest, first = [], [], []
         for piece in pieces:
-            word = self.whole_words and piece.isalpha() and (piece.isascii() or max(piece) < _SETTLED)
+            letters = piece if piece[:1] != "\0" else piece[1:]
+            word = self.whole_words and letters.isalpha() and (letters.isascii() or max(letters) < _SETTLED)
             (words if word else first if piece[:1] == "\0" else rest).append(piece)
         self._words(words, into)
         self._led(rest, into)
         self._alone(first, into)
 
     def _words(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Learn pieces of letters that a space leads."""
+        """Learn pieces of letters, marked or led by a space."""
         cells, tokenize = self.cells, self.model.tokenize
-        for word in words:
-            chars = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
-            into[word] = b"".join([cells[t.id] for t in tokenize("\u0120" + chars)])
+        joined = charmap_decode((" " + "\n ".join(words)).encode(), "strict", _BYTE_CHARS)[0]
+        for word, chars in zip(words, joined.replace("\u0120\0", "").split("\n")):
+            into[word] = b"".join([cells[t.id] for t in tokenize(chars)])
 
     def _led(self, led: list[str], into: dict[str, bytes]) -> None:
         """Learn pieces that a space leads."""
