@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wickline.llm import decontaminate, quality, token_counts, token_files, tokens, toxicity
+from wickline.llm import common, decontaminate, quality, token_counts, token_files, tokens, toxicity
 from wickline.llm.common import fresh_path
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -319,3 +319,22 @@ def test_toxicity_on_held_out_rows(spark, empty):
     blind = toxicity.train(docs, none)
     assert {r.score for r in toxicity.with_score(docs, blind).collect()} == {0.0}
     assert toxicity.with_score(empty, model).collect() == []
+
+
+# --------------------------------------------------------------- driver memory
+
+
+def test_written_tables_leave_no_garbage_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(common, "LIGHTEN_S", 0)
+    trimmed = []
+    trim = common._trim_native
+    monkeypatch.setattr(common, "_trim_native", lambda s: (trim(s), trimmed.append(s)))
+    held, weak = spark._jvm.java.util.HashSet(), spark._jvm.java.util.WeakHashMap()
+    for k in range(8):
+        weak.put(f"garbage {k}", k)
+    held.addAll(weak.keySet())
+    spark._jvm.System.gc()  # from here on only a collection of the whole heap finds them
+    held.clear()
+    written = common.materialize(spark.range(9), "range")
+    assert weak.size() == 0 and trimmed == [spark]
+    assert sorted(r.id for r in written.collect()) == list(range(9))

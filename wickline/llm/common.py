@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -52,6 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    lighten(df.sparkSession)
     _WRITTEN.append((name, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,6 +99,42 @@ def give_back() -> None:
         pass
 
 
+#: Seconds that pass at least between two calls of ``lighten`` that do something, and the last one's time.
+LIGHTEN_S = 10.0
+_LIGHTENED = [float("-inf")]
+
+
+def lighten(spark: SparkSession) -> None:
+    """Have the driver's JVM collect garbage, shrink its heap and return freed native memory to the system.
+
+    Left alone its heap grows before it collects, and what plans, compilers and
+    buffers freed outside the heap stays with the process.  Shuffles and
+    broadcasts that nothing refers to any more are cleaned by the way.
+    """
+    if time.monotonic() < _LIGHTENED[0] + LIGHTEN_S:
+        return
+    gc.collect()
+    spark._jvm.System.gc()
+    try:
+        _trim_native(spark)
+    except Py4JError:  # another JVM or system than HotSpot on glibc: only the heap is collected
+        pass
+    _LIGHTENED[0] = time.monotonic()
+
+
+def _trim_native(spark: SparkSession) -> None:
+    """``jcmd System.trim_native_heap`` from within; called by the public interface, as the server's class isn't open."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    types = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    taken, given = new_array(jvm.java.lang.Class, 4), new_array(jvm.java.lang.Object, 4)
+    for k, name in enumerate(types):
+        taken[k] = jvm.java.lang.Class.forName(name)
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", taken)
+    given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given[1] = "systemTrimNativeHeap"
+    invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``size`` bytes, so that a worker holds few Python objects at once."""
     for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import fresh_path, give_back, table, with_columns
+from .common import fresh_path, give_back, lighten, table, with_columns
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -126,6 +126,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     framed = with_columns(ordered, ["doc_id", "text"], [T.StructField("value", T.BinaryType())], factory, keep=[])
     # Offsets need the bytes as they are, whatever the session compresses or ends lines with.
     framed.select(F.col("value").cast("string").alias("value")).write.options(compression="none", lineSep="\n").text(f"{path}/shards")
+    lighten(spark)
     _records(spark, path, verify=False).select("shard", "path", "offset", "length", "doc_id", "n_tokens", "first").write.parquet(f"{path}/index")
 
 

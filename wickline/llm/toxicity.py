@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, hidden, table, with_columns
+from .common import give_back, hidden, lighten, table, with_columns
 from .labels import sample
 
 #: Labelled rows that the lexicon and the weights are learned from, at most.
@@ -380,6 +380,7 @@ def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Model:
     """A model from at most ``n`` labelled rows that are not held out, of ``SAMPLE_BYTES`` of text."""
     found = sample(docs.select("doc_id", "text"), labels, "toxic", n, ~held_out(), "text", SAMPLE_BYTES)
     rows = found.orderBy("doc_id").select("text", "label").collect()
+    lighten(docs.sparkSession)
     model = fit([r.text for r in rows], [r.label for r in rows])
     del rows
     give_back()
